@@ -17,47 +17,12 @@ not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.bloom import n_blocks, repeated_bits, test_rows
 from tessera.llm.common import cut, squeezed, whole
 
-_BLOCK = 32768  # bits in one row of Spark's bitmap functions
-
-
-def _bits(h: Column, blocks: int) -> list[Column]:
-    """The two bits of a hash, both in one block."""
-    block = F.pmod(h, F.lit(blocks)) * _BLOCK
-    at = lambda shift: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(_BLOCK - 1))
-    return [block + at(47), block + at(31)]
-
-
-def _has(bitmap: Column, bit: Column) -> Column:
-    place = F.bitmap_bit_position(bit)
-    byte = F.conv(F.hex(F.substring(bitmap, (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-
-def _blocks(n_rows: int, bits_per_row: int, max_bits: int) -> int:
-    return max(1, min(n_rows * bits_per_row, max_bits) // _BLOCK)
-
-
-def repeated_bits(hashes: DataFrame, hash_col: str, blocks: int) -> DataFrame:
-    """Pass one: bitmaps of the bits that two rows or more set."""
-    bits = hashes.select(F.explode(F.array_distinct(F.array(*_bits(F.col(hash_col), blocks)))).alias("bit"))
-    twice = bits.groupBy("bit").count().filter("count > 1")
-    return twice.groupBy(F.bitmap_bucket_number("bit").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
-
-
-def test_rows(rows: DataFrame, bitmaps: DataFrame, hash_col: str, blocks: int) -> DataFrame:
-    """Pass two: ``rows`` with the boolean ``maybe``; false means that no other row has this hash."""
-    bits = _bits(F.col(hash_col), blocks)
-    hit = _has(F.col("bitmap"), bits[0]) & _has(F.col("bitmap"), bits[1])
-    probe = rows.withColumn("block", F.bitmap_bucket_number(bits[0]))
-    # at most max_bits / _BLOCK rows of 4 KB
-    return probe.join(F.broadcast(bitmaps), "block", "left").withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("block", "bitmap")
-
-
 def keys_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, n_chars (code points), sha (of the normalised text) and h, computed once."""
     text = whole(text_col)
@@ -72,7 +37,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = keys_of(docs, id_col, text_col)
     n = rows.count()
-    blocks = _blocks(n, bits_per_row, max_bits)
+    blocks = n_blocks(n, bits_per_row, max_bits)
     tested = test_rows(rows, repeated_bits(rows, "h", blocks), "h", blocks)
     alone = tested.filter(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     maybe = tested.filter("maybe").select("id", "n_chars", "sha")
@@ -96,7 +61,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     text = whole(text_col)
     rows = docs.select(F.struct("*").alias("row"), F.unhex(F.sha2(squeezed(text), 256)).alias("sha"))
     narrow = keys_of(docs, id_col, text_col)
-    blocks = _blocks(narrow.count(), bits_per_row, max_bits)
+    blocks = n_blocks(narrow.count(), bits_per_row, max_bits)
     tested = test_rows(rows.withColumn("h", F.xxhash64("sha")), repeated_bits(narrow, "h", blocks), "h", blocks)
     better = F.struct((-F.length(whole(F.col(f"row.{text_col}")))).alias("n"), F.col(f"row.{id_col}").isNull().alias("no_id"), F.col(f"row.{id_col}").alias("id"))
     kept = tested.filter("maybe").groupBy("sha").agg(F.min_by("row", better).alias("row"))

@@ -100,7 +100,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     pieces = placed.filter("size > 0").select("id", "source", "size", "start", "no", "source_size", "target", F.explode(blocks).alias("block"))
     overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
     counts = plan(sources, block_words, seed=seed).groupBy("no", "block").agg(F.count("*").alias("times"))
-    joined = pieces.join(counts, ["no", "block"], "left")
+    # the planner takes what a sequence is exploded to for as small as the sequence: it may not choose a broadcast
+    joined = pieces.join(counts.hint("merge"), ["no", "block"], "left")
     taken = F.sum(overlap * F.coalesce(F.col("times"), F.lit(0)))
     keys = ["no", "start", "id", "source", "size", "source_size", "target"]
     some = joined.groupBy(*keys).agg(taken.cast("long").alias("taken"))

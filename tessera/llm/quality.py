@@ -38,15 +38,21 @@ RULES = {
 SYMBOLS = "#*$%&|<>"
 
 
-def _n_repeat_words(grams: Column) -> Column:
-    """Words covered by the 5-word windows whose hash occurs twice or more."""
-    ordered = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-    none = F.array(F.lit(None).cast("struct<g:bigint,i:int>"))
-    rows = F.arrays_zip(F.concat(none, ordered).alias("a"), ordered.alias("b"), F.concat(F.slice(ordered, 2, F.greatest(F.size(ordered) - 1, F.lit(0))), none).alias("c"))
-    hits = F.filter(rows, lambda x: (x["a"]["g"] == x["b"]["g"]) | (x["b"]["g"] == x["c"]["g"]))
-    at = F.array_sort(F.transform(hits, lambda x: x["b"]["i"]))
+def _with_repeats(d: DataFrame) -> DataFrame:
+    """``d`` with n_repeat_words from ``grams``: the words covered by 5-word windows whose hash occurs twice or more.
+
+    Each array is a column of its own, so that none is made twice; texts in which no window repeats stop at the first.
+    """
+    repeats = F.size(F.array_distinct("grams")) < F.size("grams")
+    empty = F.array().cast("array<struct<g:bigint,i:int>>")
+    d = d.withColumn("ordered", F.when(repeats, F.sort_array(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))).otherwise(empty)).drop("grams")
+    o = F.col("ordered")
+    equal = lambda k, by: F.coalesce(F.get(o, k)["g"] == F.get(o, k + by)["g"], F.lit(False))
+    at = F.filter(F.transform(o, lambda x, k: F.when(equal(k, -1) | equal(k, 1), x["i"])), lambda i: i.isNotNull())
+    d = d.withColumn("at", F.when(F.size(o) == 0, F.array().cast("array<int>")).otherwise(F.sort_array(at))).drop("ordered")
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-5).alias("last"))
-    return F.aggregate(at, start, lambda s, i: F.struct((s["n"] + F.least(F.lit(5), i - s["last"])).alias("n"), i.alias("last")), lambda s: s["n"])
+    covered = F.aggregate("at", start, lambda s, i: F.struct((s["n"] + F.least(F.lit(5), i - s["last"])).alias("n"), i.alias("last")), lambda s: s["n"])
+    return d.withColumn("n_repeat_words", covered).drop("at")
 
 
 def with_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -55,25 +61,24 @@ def with_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     d = docs.select(F.struct("*").alias("row")).withColumn("words", F.filter(split_words(text), lambda w: w != ""))
     w = F.col("words")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    chars = squeezed(text)
-    bare = chars
-    for c in SYMBOLS:
-        bare = F.replace(bare, F.lit(c), F.lit(""))
     d = d.select(
         "row",
         F.size(w).cast("long").alias("n_words"),
-        F.length(chars).cast("long").alias("word_chars"),
-        (F.length(chars) - F.length(bare)).cast("long").alias("n_symbols"),
+        squeezed(text).alias("chars"),
         lines.alias("lines"),
         F.when(F.size(w) >= 5, F.transform(F.sequence(F.lit(0), F.size(w) - 5), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(5)]))).otherwise(F.array().cast("array<bigint>")).alias("grams"),
     )
-    g, ln = F.col("grams"), F.col("lines")
-    d = d.select(
-        "row", "n_words", "word_chars", "n_symbols",
+    bare = F.col("chars")
+    for c in SYMBOLS:
+        bare = F.replace(bare, F.lit(c), F.lit(""))
+    ln = F.col("lines")
+    d = _with_repeats(d.select(
+        "row", "n_words", "grams",
+        F.length("chars").cast("long").alias("word_chars"),
+        (F.length("chars") - F.length(bare)).cast("long").alias("n_symbols"),
         F.size(ln).alias("n_lines"),
         (F.size(ln) - F.size(F.array_distinct(ln))).cast("long").alias("n_dup_lines"),
-        F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0).cast("long")).otherwise(_n_repeat_words(g)).alias("n_repeat_words"),
-    )
+    ))
     per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return d.select(
         "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
