@@ -7,7 +7,7 @@ the closer the language. The language with the lowest entropy wins.
 
 The sample is bounded: ``passages`` passages of ``passage_chars`` characters a language, chosen by a
 hash of id and text and taken at a hashed place; the driver holds it and broadcasts it. Texts are
-parsed whole. An automaton is a dense table, so that many texts advance together, a character a
+parsed whole, with runs of anything but letters as one space. An automaton is a dense table, so that many texts advance together, a character a
 step; a text is laid out in rows of ``ROW`` characters, at whose ends a phrase ends.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; so is every text if nothing
@@ -91,13 +91,24 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
     return step
 
 
+def _letters(points: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+    """Code points with each run of what isn't a letter as one space; languages don't differ by digits and signs."""
+    letter = alpha[np.where(points < 65536, points, 0x4E00)]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    return np.where(letter, points, 32)[keep]
+
+
+ALPHA = np.fromiter((chr(c).isalpha() for c in range(65536)), bool, 65536)
+
+
 class Parser:
     """The automaton of one language as a table. Entry (state, symbol) is the next state times the
     table's width; its sign bit says that a phrase ended before the symbol. Symbol 0 is any character
     that the sample hasn't, always a phrase of its own."""
 
     def __init__(self, passages: list[str]) -> None:
-        text = "\n".join(p.lower() for p in passages)
+        text = " ".join(_letters(np.frombuffer(p.encode("utf-32-le", "surrogatepass"), np.uint32), ALPHA).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").lower() for p in passages)
         self.bits = math.log2(max(2, len(text)))
         common = [c for c, _ in sorted(Counter(text).items(), key=lambda x: (-x[1], x[0]))[:SYMBOLS]]
         number = {c: k for k, c in enumerate(common, 1)}
@@ -146,13 +157,13 @@ class Identifier:
     def __init__(self, passages: dict[str, list[str]]) -> None:
         self.langs = sorted(passages)
         self.parsers = [Parser(passages[x]) for x in self.langs]
-        self.alpha = np.fromiter((chr(c).isalpha() for c in range(65536)), bool, 65536)
+        self.alpha = ALPHA
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits a character of each text (rows) in each language (columns), and whether it has a letter."""
         bits = np.zeros((len(texts), len(self.langs)))
         letters = np.zeros(len(texts), bool)
-        points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+        points = [_letters(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), self.alpha) for t in texts]
         starts, lengths, owner = [], [], []
         at = 0
         for k, p in enumerate(points):
