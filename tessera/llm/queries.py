@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, exact_dedup, html, langid, lm, mixing, quality, sharding, suffix_array
+from tessera.llm import bpe, exact_dedup, html, langid, lm, minhash, mixing, quality, sharding, suffix_array
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,7 @@ def queries() -> dict[str, Query]:
         "op3_langid": _over_documents(langid.identify),
         "op4_html": lambda spark, sf_dir: html.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet")),
         "op5_lm": _over_documents(lm.score),
+        "op7_minhash": _over_documents(minhash.near_dedup),
         "op8_bpe": _over_documents(lambda d: bpe.encode_digests(d, WORD_BPE)),
         "op2_mixing": _over_documents(lambda d: mixing.mix(d).drop("source")),
         "op6_quality": _over_documents(quality.quality_report),
