@@ -92,6 +92,10 @@ class Encoder:
         self.young: dict[str, tuple[int, str, str]] = {}
         self.old: dict[str, tuple[int, str, str]] = {}
         self.fits: dict[int, bool] = {}
+        # a token whose own string merges differently never comes up
+        self.stands: list[bool] = []
+        for k, (a, b) in enumerate(vocabulary.parts):
+            self.stands.append(a == k or (self.stands[a] and self.stands[b] and self.may_follow(a, b, k)))
         self._automaton()
 
     def _automaton(self) -> None:
@@ -107,7 +111,7 @@ class Encoder:
                     step.append({})
                     own.append(-1)
                 s = n
-            own[s] = k
+            own[s] = k if self.stands[k] else -1
         link = [0] * len(step)
         size = [0] * len(step)
         ends: list[tuple[tuple[int, int], ...]] = [()] * len(step)
@@ -124,14 +128,14 @@ class Encoder:
                 queue.append(n)
         self.step, self.link, self.ends = step, link, ends
 
-    def may_follow(self, a: int, b: int) -> bool:
-        """Whether merging the symbols of token ``a`` and of ``b`` in a row gives these two tokens.
+    def may_follow(self, a: int, b: int, limit: int | None = None) -> bool:
+        """Whether merging the symbols of token ``a`` and of ``b`` in a row, up to merge ``limit``, gives these two tokens.
 
         Undo the later of the two merges again and again; the seam holds if no merge across it
         would have come before the merge that was undone last.
         """
         parts, product = self.v.parts, self.v.product
-        limit = len(parts)
+        limit = len(parts) if limit is None else limit
         while True:
             if product.get((a, b), limit) < limit:
                 return False

@@ -286,12 +286,8 @@ def test_bpe_finds_what_merging_finds():
                 k = ranks.index(min(ranks))
                 out[k : k + 2] = [out[k] + out[k + 1]]
 
-        reachable = [m for m in merges]
-        spec = {"model": {"type": "BPE", "end_of_word_suffix": "</w>", "vocab": {t: i for i, t in enumerate(vocab)}, "merges": reachable}, "added_tokens": []}
+        spec = {"model": {"type": "BPE", "end_of_word_suffix": "</w>", "vocab": {t: i for i, t in enumerate(vocab)}, "merges": merges}, "added_tokens": []}
         e = bpe.Encoder(bpe.Vocabulary(json.dumps(spec)))
-        proper = all(merged(t.removesuffix("</w>"))[0] == t for t in vocab if t.endswith("</w>"))
-        if not proper:
-            continue
         for _ in range(60):
             w = "".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))
             assert [vocab[i] for i in e.encode(w)] == merged(w)
