@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.bloom import bits_of, n_blocks, test_rows
 from tessera.llm.common import cut, lookup_join, whole
-from tessera.llm.tables import stored
+from tessera.llm.tables import discard, stored
 
 U = np.uint64
 COORDINATES = 64
@@ -227,7 +227,8 @@ def clustered(docs: DataFrame, id_col: str, text_col: str, threshold: int = 80,
     more = cut(confirmed(rest, some, threshold, least))
     if not more.isEmpty():
         labels = cut(components(labels.select(F.col("key").alias("a"), F.col("root").alias("b")).unionByName(more)))
-    of = table.select("id", "n_shingles", "key")
+    of = cut(table.select("id", "n_shingles", "key"))
+    discard(table, some)  # the sets; all that was compared is in checkpoints
     root = F.coalesce("root", "key")
     labelled = lookup_join(of, labels, ["key"], F.struct("id"), how="left").select("id", "n_shingles", "key", root.alias("root"))
     least_id = cut(labelled.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("rows")).filter("rows > 1").select("root", "component_id"))

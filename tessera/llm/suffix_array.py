@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.bloom import bits_of, n_blocks, test_rows
 from tessera.llm.common import lookup_join, whole
-from tessera.llm.tables import stored
+from tessera.llm.tables import discard, stored
 
 U = np.uint64
 PLACE_BITS = 24  # low bits of an anchor's rank, which hold its place; so much text is looked at at once
@@ -410,7 +410,9 @@ def repeated_spans(texts: DataFrame, n_texts: int, length: int, k: int, max_kind
     windows = pieces.filter(F.col("window").isNotNull())
     twice = windows.groupBy("window").count().filter("count > 1").select(F.col("window").alias("w"))
     crowded = windows.join(twice, F.col("window") == F.col("w"), "left_semi").select("key", F.col("first").alias("start"), (F.col("first") + length).alias("end"))
-    return decided.unionByName(copies).unionByName(compared).unionByName(crowded)
+    out = stored(decided.unionByName(copies).unionByName(compared).unionByName(crowded).distinct())
+    discard(found, shared, kinds, wanted, pieces)
+    return out
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -428,7 +430,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     texts = docs.select(F.col(id_col).alias("id"), whole(text_col).cast("binary").alias("text")).withColumn("key", F.unhex(F.md5("text")))
     n = docs.count()
     spans = repeated_spans(texts.select("key", "text"), n, length, k, max_kinds, block_bytes)
-    by_text = stored(spans.distinct().groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    by_text = stored(spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    discard(spans)
     blocks = n_blocks(n)
     tested = test_rows(texts.withColumn("h", F.xxhash64("key")), bits_of(by_text.select(F.xxhash64("key").alias("h")), "h", blocks), "h", blocks)
     untouched = tested.filter(~F.col("maybe")).select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.col("text").alias("kept"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))

@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that the cluster shares."""
+"""Intermediate tables in the folder that the cluster shares: written once, removed when they aren't needed any more."""
 
 from __future__ import annotations
 
@@ -24,18 +24,35 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet beside the checkpoints and read it back: computed once, kept when executors are lost, read by column. Removed when the process ends."""
+    """Write ``df`` as Parquet beside the checkpoints and read it back: computed once, kept when executors are lost, read by column.
+
+    Removed by ``discard``, or when the process ends.
+    """
     spark = df.sparkSession
     path = shared_path(spark, "table")
     df.write.parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = (spark, path)
+    return out
 
 
-@atexit.register
-def _clean() -> None:
-    for spark, path in _WRITTEN:
+def _drop(written: tuple[SparkSession, str]) -> None:
+    if written in _WRITTEN:
+        _WRITTEN.remove(written)
         try:
-            remove(spark, path)
+            remove(*written)
         except Exception:  # the session is gone; its folder is the cluster's to clean
             return
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more."""
+    for t in tables:
+        _drop(t._stored)
+
+
+@atexit.register
+def _clean() -> None:
+    for written in list(_WRITTEN):
+        _drop(written)
