@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.bloom import bits_of, n_blocks, test_rows
-from tessera.llm.common import cut, lookup_join, whole
+from tessera.llm.common import cut, lookup_join, release, whole
 from tessera.llm.tables import discard, stored
 
 U = np.uint64
@@ -211,24 +211,30 @@ def cross_pairs(posted: DataFrame, labels: DataFrame, per_salt: int = 256) -> Da
 
 def clustered(docs: DataFrame, id_col: str, text_col: str, threshold: int = 80, least: int = LEAST) -> DataFrame:
     """(id, n_shingles, key, component_id): component_id is the least id of the component."""
+    spark = docs.sparkSession
     table = stored(sets_of(docs, id_col, text_col))
     classes = table.filter(F.col("key").isNotNull())
     unique = cut(classes.groupBy("key").agg(F.first("signature").alias("signature")))
     posted = cut(postings(unique, least))
+    release(spark)
     # what may be compared, by a filter of bounded size, so that only those sets shuffle
     members = posted.select("key").distinct().withColumn("h", F.xxhash64("key"))
     blocks = n_blocks(unique.count())
     some = test_rows(classes.select("key", "signature", "shingles").withColumn("h", F.xxhash64("key")), bits_of(members, "h", blocks), "h", blocks).filter("maybe")
     some = stored(some.select("key", "signature", "shingles").groupBy("key").agg(F.first("signature").alias("signature"), F.first("shingles").alias("shingles")))
+    of = cut(table.select("id", "n_shingles", "key"))
+    discard(table)
+    release(spark)
     stars = star_pairs(posted)
     links = cut(confirmed(stars, some, threshold, least))
+    release(spark)
     labels = cut(components(links))
     rest = cross_pairs(posted, labels).join(cut(stars).withColumnsRenamed({"a": "a1", "b": "b1"}).hint("merge"), (F.col("a") == F.col("a1")) & (F.col("b") == F.col("b1")), "left_anti")
     more = cut(confirmed(rest, some, threshold, least))
     if not more.isEmpty():
         labels = cut(components(labels.select(F.col("key").alias("a"), F.col("root").alias("b")).unionByName(more)))
-    of = cut(table.select("id", "n_shingles", "key"))
-    discard(table, some)  # the sets; all that was compared is in checkpoints
+    discard(some)  # all that was compared is in checkpoints
+    release(spark)
     root = F.coalesce("root", "key")
     labelled = lookup_join(of, labels, ["key"], F.struct("id"), how="left").select("id", "n_shingles", "key", root.alias("root"))
     least_id = cut(labelled.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("rows")).filter("rows > 1").select("root", "component_id"))

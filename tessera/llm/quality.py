@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.llm.common import SPACE_CLASS, SPACES, cut, lookup_join, split_words, squeezed, whole
-from tessera.llm.tables import stored
 
 GAMMA = 1.02
 LOW, HIGH = 1e-3, 1e6
@@ -132,9 +131,11 @@ def _cutoff() -> Column:
 def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", id_col: str = "doc_id", min_rows: int = 200, keep_rows: bool = False) -> DataFrame:
     """Metrics, base_failed and kept of each document; with ``keep_rows`` its columns as the struct ``row``."""
     m = with_metrics(docs, text_col).withColumns({"lang": F.col(f"row.{lang_col}"), "source": F.col(f"row.{source_col}"), "id": F.col(f"row.{id_col}")})
-    # written before anything filters by the metrics: a filter that is pushed below them would compute them once an element
-    narrow = stored(m) if keep_rows else cut(m.drop("row"))
+    narrow = cut(m.drop("row"))
     cutoffs = cut(thresholds(narrow, min_rows=min_rows))
+    if keep_rows:
+        # a filter by the metrics may not be pushed below them, where it would compute them once an element: none passes an explode
+        narrow = m.select(F.explode(F.array(F.struct(*m.columns))).alias("m")).select("m.*")
     d = lookup_join(narrow, cutoffs, ["lang", "source"], F.struct("id", "n_words"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     passes = F.lit(True)
