@@ -14,10 +14,10 @@ BLOCK = 32768  # bits of one bitmap
 
 
 def _bits(h: Column, blocks: int) -> list[Column]:
-    """The two bits of a hash, both in one block."""
+    """The two bits of a hash, both in one block; numbered from 1, as bitmap_bucket_number puts 1 to BLOCK in one bucket."""
     block = F.pmod(h, F.lit(blocks)) * BLOCK
     at = lambda shift: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(BLOCK - 1))
-    return [block + at(47), block + at(31)]
+    return [block + at(47) + 1, block + at(31) + 1]
 
 
 def _has(bitmap: Column, bit: Column) -> Column:
