@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,23 +93,28 @@ def _unpacked(b: bytes) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, key, signature, shingles); key is null for empty sets."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_shingles", T.LongType()), *[T.StructField(k, T.BinaryType()) for k in ("key", "signature", "shingles")]])
+    """(id, mark, n_shingles, key, signature, shingles); mark is a hash of the text, key is null for empty sets."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("mark", T.LongType()), T.StructField("n_shingles", T.LongType()), *[T.StructField(k, T.BinaryType()) for k in ("key", "signature", "shingles")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
                 size, key, sig, packed = [], [], [], []
-                for text in b.column(1):
+                for text in b.column(2):
                     s = shingles(text.as_py())
                     size.append(len(s))
                     key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     sig.append(signature(s).tobytes() if len(s) else None)
                     packed.append(_packed(s) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), *(pa.array(x, pa.binary()) for x in (key, sig, packed))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), *(pa.array(x, pa.binary()) for x in (key, sig, packed))], names=schema.names)
 
-    return docs.select(F.col(id_col), whole(text_col).cast("binary").alias("__text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), _mark(text_col).alias("__mark"), whole(text_col).cast("binary").alias("__text")).mapInArrow(run, schema)
+
+
+def _mark(text_col: str) -> Column:
+    """What tells rows of one id apart."""
+    return F.xxhash64(whole(text_col))
 
 
 def postings(classes: DataFrame, least: int) -> DataFrame:
@@ -209,8 +214,8 @@ def cross_pairs(posted: DataFrame, labels: DataFrame, per_salt: int = 256) -> Da
     return left.join(right.hint("merge"), on).select("a", "b").distinct()
 
 
-def clustered(docs: DataFrame, id_col: str, text_col: str, threshold: int = 80, least: int = LEAST) -> DataFrame:
-    """(id, n_shingles, key, component_id): component_id is the least id of the component."""
+def rooted(docs: DataFrame, id_col: str, text_col: str, threshold: int = 80, least: int = LEAST) -> DataFrame:
+    """(id, mark, n_shingles, key, root): root is the least key of the component, null for empty sets."""
     spark = docs.sparkSession
     table = stored(sets_of(docs, id_col, text_col))
     classes = table.filter(F.col("key").isNotNull())
@@ -222,7 +227,7 @@ def clustered(docs: DataFrame, id_col: str, text_col: str, threshold: int = 80,
     blocks = n_blocks(unique.count())
     some = test_rows(classes.select("key", "signature", "shingles").withColumn("h", F.xxhash64("key")), bits_of(members, "h", blocks), "h", blocks).filter("maybe")
     some = stored(some.select("key", "signature", "shingles").groupBy("key").agg(F.first("signature").alias("signature"), F.first("shingles").alias("shingles")))
-    of = cut(table.select("id", "n_shingles", "key"))
+    of = cut(table.select("id", "mark", "n_shingles", "key"))
     discard(table)
     release(spark)
     stars = star_pairs(posted)
@@ -236,7 +241,12 @@ def clustered(docs: DataFrame, id_col: str, text_col: str, threshold: int = 80,
     discard(some)  # all that was compared is in checkpoints
     release(spark)
     root = F.coalesce("root", "key")
-    labelled = lookup_join(of, labels, ["key"], F.struct("id"), how="left").select("id", "n_shingles", "key", root.alias("root"))
+    return lookup_join(of, labels, ["key"], F.struct("id", "mark"), how="left").select("id", "mark", "n_shingles", "key", root.alias("root"))
+
+
+def clustered(docs: DataFrame, id_col: str, text_col: str, threshold: int = 80, least: int = LEAST) -> DataFrame:
+    """(id, n_shingles, key, component_id): component_id is the least id of the component."""
+    labelled = rooted(docs, id_col, text_col, threshold, least)
     least_id = cut(labelled.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("rows")).filter("rows > 1").select("root", "component_id"))
     out = lookup_join(labelled, least_id.withColumn("found", F.lit(True)), ["root"], F.struct("id"), how="left")
     return out.select("id", "n_shingles", "key", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
@@ -249,10 +259,21 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80, least: int = LEAST) -> DataFrame:
-    """``docs`` with one row of each component, that of the least id, its columns unchanged; ids must be unique."""
-    dropped = near_dedup(docs, id_col, text_col, threshold, least).filter(~F.col("kept")).select(F.col(id_col).alias("__gone"))
-    dropped = cut(dropped.distinct())
-    blocks = n_blocks(max(1, dropped.count()))
-    tested = test_rows(docs.select(F.struct("*").alias("row"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id")), bits_of(dropped.select(F.xxhash64("__gone").alias("h")), "h", blocks), "h", blocks)
-    rest = tested.filter("maybe").join(dropped.hint("merge"), F.col("id").eqNullSafe(F.col("__gone")), "left_anti")
-    return tested.filter(~F.col("maybe")).select("row.*").unionByName(rest.select("row.*"))
+    """``docs`` with one row of each component, that of the least id and then key, its columns unchanged.
+
+    Rows are told apart by id and text; of rows that repeat both, one is kept if the component keeps theirs.
+    """
+    labelled = rooted(docs, id_col, text_col, threshold, least).filter(F.col("root").isNotNull())
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key", "mark")
+    best = cut(labelled.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("rows")).filter("rows > 1").select("root", "best"))
+    same = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key")) & (F.col("mark") == F.col("best.mark"))
+    listed = lookup_join(labelled, best, ["root"], F.struct("id", "mark")).groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.max(same).alias("__keep"), F.count("*").alias("rows"))
+    # of the other rows, nothing is to be done
+    listed = cut(listed.filter("not __keep or rows > 1").select("__id", "__mark", "__keep"))
+    blocks = n_blocks(max(1, listed.count()))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), _mark(text_col).alias("mark")).withColumn("h", F.xxhash64("id", "mark"))
+    tested = test_rows(rows, bits_of(listed.select(F.xxhash64("__id", "__mark").alias("h")), "h", blocks), "h", blocks)
+    found = tested.filter("maybe").join(listed.hint("merge"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")), "left")
+    rest = found.filter(F.col("__keep").isNull()).select("row.*")
+    one = found.filter("__keep").groupBy("id", "mark").agg(F.first("row").alias("row")).select("row.*")
+    return tested.filter(~F.col("maybe")).select("row.*").unionByName(rest).unionByName(one)
