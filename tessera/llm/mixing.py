@@ -112,13 +112,35 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = 3, weights: tuple[float, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
     """The mix in whole documents: each row of ``docs`` 0 to ``max_epochs`` times, its columns unchanged.
 
-    A document is its own block here. Its source's epochs (target / size) give the whole passes; a
-    keyed draw of the document decides the part of a pass that is left. Rows that repeat share it.
+    A document is its own block here. A source's documents lie in the order of a keyed hash; whole
+    epochs take all of them, and of the part of an epoch that is left, those whose middle word lies
+    before its end. So the words taken differ from the target by half of the document at that end
+    at most. Rows that repeat id and text lie at one place.
     """
-    text = F.col(f"row.{text_col}")
-    rows = docs.select(F.struct("*").alias("row")).withColumns({"source": F.col(f"row.{source_col}"), "size": count_words(whole(text)), "id": F.col(f"row.{id_col}")})
-    sources = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs))
-    epochs = lookup_join(rows, sources, ["source"], F.struct("id", "size")).filter("size > 0").withColumn("epochs", F.col("target") / F.col("source_size"))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id"), F.col("size")), 11) / float(2**53)
-    times = F.floor(F.col("epochs")) + (draw < F.col("epochs") - F.floor(F.col("epochs"))).cast("int")
-    return epochs.withColumn("times", times.cast("int")).filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    text = whole(F.col(f"row.{text_col}"))
+    rows = docs.select(F.struct("*").alias("row")).withColumns({"source": F.col(f"row.{source_col}"), "size": count_words(text)})
+    rows = rows.withColumn("place", F.xxhash64(F.lit(seed), F.col(f"row.{id_col}"), text))
+    narrow = cut(rows.select("source", "size", "place"))
+    ends = cut(_ends(narrow, weights, max_epochs))
+    placed = lookup_join(rows.filter("size > 0"), ends, ["source"], F.struct("place", "size"))
+    times = (F.col("epochs") + (F.col("place") <= F.col("last")).cast("int")).cast("int")
+    return placed.withColumn("times", times).filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+
+
+def _ends(narrow: DataFrame, weights: tuple[float, ...], max_epochs: int) -> DataFrame:
+    """(source, epochs, last): the whole epochs, and the last place that the part of an epoch takes, from rows (source, size, place)."""
+    bucket = F.shiftright("place", 52).alias("bucket")  # 4096, in the order of the places
+    sums = cut(narrow.groupBy("source", bucket).agg(F.sum("size").alias("sum")))
+    sources = targets(sums.groupBy("source").agg(F.sum("sum").alias("source_size")), weights, max_epochs).filter("source_size > 0")
+    epochs = F.floor(F.col("target") / F.col("source_size"))
+    sources = cut(sources.select("source", epochs.alias("epochs"), (F.col("target") - epochs * F.col("source_size")).alias("part")))
+    laid = sums.withColumn("before", F.sum("sum").over(W.partitionBy("source").orderBy("bucket")) - F.col("sum"))
+    edge = lookup_join(laid, sources, ["source"], F.col("bucket")).filter("before <= part and part < before + sum").select("source", "bucket", "before", "part")
+    # only the bucket in which the part ends is laid out by place
+    inner = lookup_join(narrow.filter("size > 0").withColumn("bucket", bucket), edge, ["source", "bucket"], F.col("place")).groupBy("source", "before", "part", "place").agg(F.sum("size").alias("size"))
+    start = F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("place")) - F.col("size")
+    inside = inner.withColumn("start", start).filter(F.col("start") + F.col("size") / 2 <= F.col("part")).groupBy("source").agg(F.max("place").alias("inside"))
+    # if it takes none of that bucket, its end is the last place before it
+    below = edge.select("source", F.when(F.col("bucket") > -2048, F.shiftleft("bucket", 52) - 1).alias("below"))
+    found = lookup_join(lookup_join(sources, below, ["source"], F.col("source"), how="left"), inside, ["source"], F.col("source"), how="left")
+    return found.select("source", "epochs", F.coalesce("inside", "below", F.lit(-(2**63)).cast("long")).alias("last"))
