@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +16,12 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the folder that the session names in spark.checkpoint.dir; only where none is named, as in tests, make one."""
+    """Keep the folder that the session names in spark.checkpoint.dir; only where none is named, and on one machine, as in tests, make one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
@@ -70,20 +73,23 @@ def same(left: DataFrame, right: DataFrame, keys: Iterable[str]) -> Column:
     return out
 
 
-def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, max_rows: int = 50_000, salts: int = 32, how: str = "inner") -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], max_rows: int = 50_000, hot_share: float = 0.001, how: str = "inner") -> DataFrame:
     """Join ``left`` to the unique ``keys`` of ``right``, null-safe, and keep ``left``'s key columns.
 
-    ``right`` is broadcast only if it has at most ``max_rows`` rows, counted here. Beyond that it
-    is copied to ``salts`` salts, so that no hot key of ``left`` has fewer than that many tasks
-    (``spread`` is what ``left``'s rows are salted by).
+    ``right`` is broadcast only if it has at most ``max_rows`` rows, counted here. Beyond that the
+    keys that more than ``hot_share`` of ``left``'s rows have, counted here and at most 1 / hot_share,
+    are joined by a broadcast of their rows; all others by a shuffle.
     """
     renamed = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    on = F.lit(True)
-    for k in keys:
-        on = on & left[k].eqNullSafe(F.col(f"__r_{k}"))
+    equal = lambda other: reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"{other}{k}")), keys, F.lit(True))
     drop = [f"__r_{k}" for k in keys]
     if right.limit(max_rows + 1).count() <= max_rows:
-        return left.join(F.broadcast(renamed), on, how).drop(*drop)
-    salted = left.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    copies = renamed.withColumn("__r_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, on & (F.col("__salt") == F.col("__r_salt")), how).drop(*drop, "__salt", "__r_salt")
+        return left.join(F.broadcast(renamed), equal("__r_"), how).drop(*drop)
+    n = left.count()
+    hot = cut(left.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > hot_share * n).select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.lit(True).alias("__hot")))
+    same = reduce(lambda a, k: a & F.col(f"__r_{k}").eqNullSafe(F.col(f"__h_{k}")), keys, F.lit(True))
+    few = renamed.join(F.broadcast(hot), same, "left_semi")
+    marked = left.join(F.broadcast(hot), equal("__h_"), "left").drop(*[f"__h_{k}" for k in keys])
+    of_hot = marked.filter(F.col("__hot")).join(F.broadcast(few), equal("__r_"), how)
+    of_rest = marked.filter(F.col("__hot").isNull()).join(renamed.hint("merge"), equal("__r_"), how)
+    return of_hot.unionByName(of_rest).drop("__hot", *drop)

@@ -72,7 +72,7 @@ def offsets(rows: DataFrame, spread: int) -> DataFrame:
     before = sums.select("source", "bucket", (F.sum("sum").over(W.partitionBy("source").orderBy("bucket")) - F.col("sum")).alias("before"))
     inner = F.sum("size").over(W.partitionBy("source", "bucket").orderBy("id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
     ranked = b.withColumn("inner", inner)
-    return lookup_join(ranked, before, ["source", "bucket"], F.struct("id", "size")).withColumn("start", F.col("before") + F.col("inner")).drop("bucket", "before", "inner")
+    return lookup_join(ranked, before, ["source", "bucket"]).withColumn("start", F.col("before") + F.col("inner")).drop("bucket", "before", "inner")
 
 
 def plan(sources: DataFrame, block_words: int, shard_slots: int = 4096, seed: int = 7, chunk: int = 4096) -> DataFrame:
@@ -95,7 +95,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row per document: id, size, source, source_size, target and taken, in words."""
     rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), count_words(whole(text_col)).alias("size")))
     sources = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs))
-    placed = lookup_join(offsets(rows, spread=4 * parts(docs.sparkSession)), sources, ["source"], F.struct("id", "size"))
+    placed = lookup_join(offsets(rows, spread=4 * parts(docs.sparkSession)), sources, ["source"])
     blocks = F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))
     pieces = placed.filter("size > 0").select("id", "source", "size", "start", "no", "source_size", "target", F.explode(blocks).alias("block"))
     overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
@@ -122,7 +122,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumn("place", F.xxhash64(F.lit(seed), F.col(f"row.{id_col}"), text))
     narrow = cut(rows.select("source", "size", "place"))
     ends = cut(_ends(narrow, weights, max_epochs))
-    placed = lookup_join(rows.filter("size > 0"), ends, ["source"], F.struct("place", "size"))
+    placed = lookup_join(rows.filter("size > 0"), ends, ["source"])
     times = (F.col("epochs") + (F.col("place") <= F.col("last")).cast("int")).cast("int")
     return placed.withColumn("times", times).filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
@@ -135,12 +135,12 @@ def _ends(narrow: DataFrame, weights: tuple[float, ...], max_epochs: int) -> Dat
     epochs = F.floor(F.col("target") / F.col("source_size"))
     sources = cut(sources.select("source", epochs.alias("epochs"), (F.col("target") - epochs * F.col("source_size")).alias("part")))
     laid = sums.withColumn("before", F.sum("sum").over(W.partitionBy("source").orderBy("bucket")) - F.col("sum"))
-    edge = lookup_join(laid, sources, ["source"], F.col("bucket")).filter("before <= part and part < before + sum").select("source", "bucket", "before", "part")
+    edge = lookup_join(laid, sources, ["source"]).filter("before <= part and part < before + sum").select("source", "bucket", "before", "part")
     # only the bucket in which the part ends is laid out by place
-    inner = lookup_join(narrow.filter("size > 0").withColumn("bucket", bucket), edge, ["source", "bucket"], F.col("place")).groupBy("source", "before", "part", "place").agg(F.sum("size").alias("size"))
+    inner = lookup_join(narrow.filter("size > 0").withColumn("bucket", bucket), edge, ["source", "bucket"]).groupBy("source", "before", "part", "place").agg(F.sum("size").alias("size"))
     start = F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("place")) - F.col("size")
     inside = inner.withColumn("start", start).filter(F.col("start") + F.col("size") / 2 <= F.col("part")).groupBy("source").agg(F.max("place").alias("inside"))
     # if it takes none of that bucket, its end is the last place before it
     below = edge.select("source", F.when(F.col("bucket") > -2048, F.shiftleft("bucket", 52) - 1).alias("below"))
-    found = lookup_join(lookup_join(sources, below, ["source"], F.col("source"), how="left"), inside, ["source"], F.col("source"), how="left")
+    found = lookup_join(lookup_join(sources, below, ["source"], how="left"), inside, ["source"], how="left")
     return found.select("source", "epochs", F.coalesce("inside", "below", F.lit(-(2**63)).cast("long")).alias("last"))

@@ -136,7 +136,7 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
     if keep_rows:
         # a filter by the metrics may not be pushed below them, where it would compute them once an element: none passes an explode
         narrow = m.select(F.explode(F.array(F.struct(*m.columns))).alias("m")).select("m.*")
-    d = lookup_join(narrow, cutoffs, ["lang", "source"], F.struct("id", "n_words"))
+    d = lookup_join(narrow, cutoffs, ["lang", "source"])
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     passes = F.lit(True)
     for name in RULES:

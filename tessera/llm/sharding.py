@@ -70,7 +70,7 @@ def with_slots(rows: DataFrame, shard_col: str, order: list[str], spread: int) -
     before = counts.select(F.col(shard_col), "__bucket", (F.sum("count").over(W.partitionBy(shard_col).orderBy("__bucket")) - F.col("count")).alias("__before"))
     rank = F.row_number().over(W.partitionBy(shard_col, "__bucket").orderBy(*order)) - 1
     ranked = b.withColumn("__rank", rank)
-    joined = lookup_join(ranked, before, [shard_col, "__bucket"], F.struct(*order))
+    joined = lookup_join(ranked, before, [shard_col, "__bucket"])
     return joined.withColumn("slot", (F.col("__before") + F.col("__rank")).cast("long")).drop("__bucket", "__before", "__rank")
 
 

@@ -435,7 +435,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     blocks = n_blocks(n)
     tested = test_rows(texts.withColumn("h", F.xxhash64("key")), bits_of(by_text.select(F.xxhash64("key").alias("h")), "h", blocks), "h", blocks)
     untouched = tested.filter(~F.col("maybe")).select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.col("text").alias("kept"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    touched = lookup_join(tested.filter("maybe").select("id", "key", "text"), by_text, ["key"], F.struct("id"), max_rows=0, how="left").select("id", "text", "spans")
+    touched = lookup_join(tested.filter("maybe").select("id", "key", "text"), by_text, ["key"], how="left").select("id", "text", "spans")
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("spans", untouched.schema["spans"].dataType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

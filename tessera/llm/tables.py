@@ -30,7 +30,7 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, "table")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._stored = (spark, path)
