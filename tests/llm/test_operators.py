@@ -331,36 +331,89 @@ def test_langid(spark, docs, rows, empty):
         assert bits[0, 0] == pytest.approx(whole * ident.parsers[0].bits / len(text))
 
 
+def spelling(words):
+    """P(word) by interpolated 3-grams of bytes over the learned ``words``."""
+    grams = [collections.Counter() for _ in range(3)]
+    for w in words:
+        x = b"  " + w + b" "
+        for i in range(2, len(x)):
+            for k in range(3):
+                grams[k][x[i - k : i + 1]] += 1
+
+    def p(byte, context):
+        if context is None:
+            return 1 / 256
+        after = {g: n for g, n in grams[len(context)].items() if g[:-1] == context}
+        below = p(byte, context[1:] if context else None)
+        total = sum(after.values())
+        if not total:
+            return below
+        return max(after.get(context + byte, 0) - lm.DISCOUNT, 0) / total + lm.DISCOUNT * len(after) / total * below
+
+    def word(w):
+        x = b"  " + w + b" "
+        return math.prod(p(x[i : i + 1], x[i - 2 : i]) for i in range(2, len(x)))
+
+    return p, word
+
+
 def test_lm(spark, docs, rows, empty):
-    out = {(r["doc_id"], r["n_tokens"]): r for r in lm.score(docs, states=20, arcs=60, chunk_bytes=3000).collect()}
-    tokens = [([w for w in (t or "").encode().lower().split()] + [None]) for _, t, *_ in rows]
+    out = {(r["doc_id"], r["n_tokens"]): r for r in lm.score(docs, share=0.01, chunk_bytes=3000).collect()}
+    tokens = [([w for w in (t or "").encode().lower().split()] + [b""]) for _, t, *_ in rows]
     fold = [None if r[0] is None else zlib.crc32(str(r[0]).encode()) % 7 for r in rows]
     train = [t for t, f in zip(tokens, fold, strict=True) if f is not None and f != 2]
     c = collections.Counter(w for t in train for w in t)
     n, v = sum(c.values()), len(c)
-    rank = lm.frequent(docs, "doc_id", "text", 60, 2000)
-    pairs = collections.Counter(x for t in train for x in zip([None, *t], t, strict=False))
-    d = min(lm.MOST_DISCOUNT, sum(k == 1 for k in c.values()) / v)
+    once, twice = (sum(k == x for k in c.values()) for x in (1, 2))
+    d = min(0.95, max(0.05, once / (once + 2 * twice)))
+    often = {w for w in c if c[w] >= 0.01 * n}
+    pairs = collections.Counter(x for t in train for x in zip([b"", *t], t, strict=False))
+    byte, spell = spelling(c)
+    assert sum(byte(bytes([x]), b"ab") for x in range(256)) == pytest.approx(1)
+    assert sum(byte(bytes([x]), b"\x00?") for x in range(256)) == pytest.approx(1)
+    spells = {w: spell(w) for t in tokens for w in t}
 
     def p(before, w):
-        root = (c[w] - d) / n if c[w] else d * v / n
-        s = rank.get(before, 99)
-        if s >= 20:
+        root = max(c[w] - d, 0) / n + d * v / n * spells[w]
+        if before not in often:
             return root
-        arcs = {x: pairs[before, x] for x in rank if pairs[before, x]}
-        total = max(1, c[before], sum(arcs.values()))
+        arcs = {x: pairs[before, x] for x in often if pairs[before, x]}
+        total = max(c[before], sum(arcs.values()))
         kept = {x: max(k - lm.DISCOUNT, 0) / total for x, k in arcs.items()}
         return kept.get(w, 0) + (1 - sum(kept.values())) * root
 
+    assert len(often) > 3
     for r, t, f in zip(rows, tokens, fold, strict=True):
         o = out[r[0], len(t)]
         assert (o["held_out"], o["n_known"], o["train_tokens"]) == (f == 2, sum(c[w] > 0 for w in t), n)
         assert o["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t))
-        assert o["score"] == pytest.approx(sum(math.log10(p(a, w)) for a, w in zip([None, *t], t, strict=False)))
-    for before in (None, *list(rank)[1:4], b"rare"):
-        assert sum(p(before, w) for w in [*c, b"never seen"]) == pytest.approx(1)
+        assert o["score"] == pytest.approx(sum(math.log10(p(a, w)) for a, w in zip([b"", *t], t, strict=False)))
     assert len(out) == len({(r[0], len(t)) for r, t in zip(rows, tokens, strict=True)})
     assert lm.score(empty).count() == 0
+    alone = lm.score(docs.filter("doc_id is null")).collect()  # nothing to learn from
+    assert [(r["n_known"], r["train_tokens"], r["base_score"]) for r in alone] == [(0, 0, 0.0)]
+    assert alone[0]["score"] == pytest.approx(len(b"no id here ") * math.log10(1 / 256) + math.log10(1 / 256))
+
+
+def test_lm_tells_text_from_noise(spark):
+    """Unknown words cost more than text that was not learned, and held-out text gains on the base by its known words alone."""
+    rng = random.Random(8)
+    pool = ["".join(rng.choice(["ka", "lo", "mi", "ren", "tu", "s"]) for _ in range(rng.randint(1, 4))) for _ in range(400)]
+
+    def text():
+        at = [rng.randrange(40)]
+        while len(at) < 120:
+            at.append((7 * at[-1] + rng.choice([0, 0, 0, 1, 2])) % 40 if rng.random() < 0.9 else rng.randrange(len(pool)))
+        return " ".join(pool[k] for k in at)
+
+    noise = lambda: " ".join("".join(rng.choice("qwxzvbnjk0123456789#") for _ in range(6)) for _ in range(120))
+    held = [k for k in range(2000) if zlib.crc32(str(k).encode()) % 7 == 2][:40]
+    data = [(k, text()) for k in range(300) if k not in held] + [(k, text()) for k in held[:20]] + [(k, noise()) for k in held[20:]]
+    out = {r["doc_id"]: r for r in lm.score(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    real, junk = ([out[k] for k in x] for x in (held[:20], held[20:]))
+    assert max(r["score"] / r["n_tokens"] for r in junk) < min(r["score"] / r["n_tokens"] for r in real) - 3
+    known = [r for r in real if r["n_known"] == r["n_tokens"]]
+    assert known and all(r["score"] > r["base_score"] for r in known)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
