@@ -445,5 +445,56 @@ def test_wrapper_is_union_free():
     b = html.wrapper(html.parse("<div><h1>A</h1><h2>B</h2><p>z</p></div>"))
     w = html.join(a, b)[html.KIDS][0]
     assert [(k[html.SHAPE], k[html.OPT], k[html.REP]) for k in w[html.KIDS]] == [("h1", False, False), ("h2", True, False), ("p", False, True), ("ul", True, False)]
-    assert w[html.KIDS][0][html.TEXT] == "A"
+    assert w[html.KIDS][0][html.TEXT] == html._digest("A")
     assert w[html.KIDS][2][html.TEXT] == html.SLOT
+    assert html.join(html.wrapper(html.parse("<p class=a>x")), html.wrapper(html.parse("<p class=b>x")))[html.KIDS][0][html.SHAPE] == "p.*"
+
+
+LAYOUT = """<html><body><div class="q1"><a href="/">Home</a> <a href="/x">News</a></div><div class="q2">We use tokens to keep you signed in. Read on or leave, it is all the same to us, and has been for years.</div>
+{title}<div class="{box}"><div class="w"><p>{first}</p>{rest}</div><div class="more"><a href="/z">All of our news</a></div></div>
+<div class="q5">{teaser}</div><div class="q6"><p>Some street 1, some town. All rights reserved by those who have them.</p></div></body></html>"""
+
+
+def test_html_needs_its_wrapper():
+    """Hosts without <article> or names that tell anything: the wrapper finds the article, reading pages alone doesn't."""
+    rng = random.Random(6)
+    say = lambda n: " ".join("".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    pages, want = [], []
+    for k in range(12):
+        paragraphs = [say(60) for _ in range(rng.randint(1, 4))]
+        title = say(4)
+        box = "zx" if k % 4 else f"zx k{'abcdefghijkl'[k]}"
+        pages.append(LAYOUT.format(title=f"<h1>{title}</h1>", box=box, first=paragraphs[0], rest="".join(f"<p>{x}" for x in paragraphs[1:]), teaser=say(6)))
+        want.append("\n".join([title, *paragraphs]))
+    whole = html.wrapper(html.parse(pages[0]))
+    for p in pages[1:]:
+        whole = html.join(whole, html.wrapper(html.parse(p)))
+    rule = html.rules(whole)
+    assert [html.extract(html.parse(p), rule) for p in pages] == want
+    alone = [html.read_alone(p) for p in pages]
+    assert all(a != w and "We use tokens" in a for a, w in zip(alone, want, strict=True))
+
+
+def test_html_drops_no_text_for_being_constant():
+    """A heading or paragraph of the article stays, though it is the same on all pages; so does all of a host of copies."""
+    page = "<body><nav>x</nav><article class='{long}'><h1>Report</h1><p>{text}</p><h2>Summary</h2><p>Same words each time.</p></article></body>"
+    long = "u" * 90 + " sidebar"
+    for texts in (["one and the same"] * 20, [f"text {k} of many" for k in range(20)]):
+        pages = [page.format(text=t, long="wide") for t in texts]
+        w = html.wrapper(html.parse(pages[0]))
+        for p in pages[1:]:
+            w = html.join(w, html.wrapper(html.parse(p)))
+        assert [html.extract(html.parse(p), html.rules(w)) for p in pages] == [f"Report\n{t}\nSummary\nSame words each time." for t in texts]
+    assert html.parse(f"<div class='{long}'>x</div>").kids[0].bad
+
+
+def test_html_two_articles():
+    """A page with two articles of one shape has both; with two layouts on a host, each page is read by its own."""
+    two = html.read_alone("<main><article><p>a</p></article><article><p>b</p></article></main>")
+    assert two == "a\nb"
+    pages = [f"<body><div class=a><p>{'first kind ' * 20}{k}</p></div><div class=n>{k} like this</div></body>" for k in range(6)] + [f"<body><section class=b><p>{'second kind ' * 10}{k}</p></section><div class=n>{k} like this</div></body>" for k in range(3)]
+    w = html.wrapper(html.parse(pages[0]))
+    for p in pages[1:]:
+        w = html.join(w, html.wrapper(html.parse(p)))
+    out = [html.extract(html.parse(p), html.rules(w)) for p in pages]
+    assert out == [("first kind " * 20 + str(k)) for k in range(6)] + [("second kind " * 10 + str(k)) for k in range(3)]
