@@ -11,6 +11,7 @@ import zlib
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe, exact_dedup, html, langid, lm, minhash, mixing, quality, sharding
@@ -93,40 +94,71 @@ def measured(t):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), len(lines)
 
 
-def judged(rows, min_rows):
+def judged(rows, prior):
     """Verdicts with thresholds from all values of a group, binned like the sketches."""
     ratio = lambda a, b: a / b if b else 0.0
     values = [{"symbol_ratio": ratio(m[2], m[0]), "dup_line_ratio": ratio(m[3], m[5]), "repeat_ratio": ratio(m[4], m[0]), "word_length": ratio(m[1], m[0])} for m in (measured(r[1]) for r in rows)]
-    binned = lambda x: -10_000 if x < quality.LOW else math.ceil(math.log(min(x, quality.HIGH)) / math.log(quality.GAMMA))
 
-    def cutoff(name, members):
-        bins = sorted(binned(values[k][name]) for k in members)
-        q = [0.0 if b == -10_000 else quality.GAMMA**b for b in (bins[math.ceil(p * len(bins)) - 1] for p in (0.25, 0.5, 0.75))]
-        width, slack = quality.RULES[name]
-        return max(q[2] + width * (q[2] - q[0]), q[1] + slack)
+    def quantile(name, members):
+        bins = sorted(math.ceil(math.log(min(x, quality.HIGH)) / math.log(quality.GAMMA)) for x in (values[k][name] for k in members) if x >= quality.LOW)
+        return len(bins), lambda p: quality.GAMMA ** bins[math.ceil(p * len(bins)) - 1]
+
+    def pulled(own, n, towards):
+        return towards if own is None else own if towards is None else (n * own + prior * towards) / (n + prior)
+
+    def cutoff(name, levels):
+        kind, x = quality.RULES[name]
+        out = None
+        for members in levels if kind == "rare" else levels[1:]:
+            n, q = quantile(name, members)
+            if kind == "rare":
+                out = pulled(q(x) if n else None, n, out)
+            else:
+                out = pulled(q(0.75) + x * (n * (q(0.75) - q(0.25)) + prior * q(0.5) / 4) / (n + prior) if n else None, n, out)
+        return out
 
     out = []
     for k, r in enumerate(rows):
         n, _, _, _, again, _ = measured(r[1])
-        for members in ([j for j, s in enumerate(rows) if s[2:4] == r[2:4]], [j for j, s in enumerate(rows) if s[2] == r[2]], list(range(len(rows)))):
-            if len(members) >= min_rows:
-                break
+        levels = [range(len(rows)), [j for j, s in enumerate(rows) if s[2] == r[2]], [j for j, s in enumerate(rows) if s[2:4] == r[2:4]]]
         failed = n < 10 or 100 * again > 20 * n
-        out.append((failed, not failed and all(values[k][m] <= cutoff(m, members) for m in quality.RULES)))
+        limits = {m: cutoff(m, levels) for m in quality.RULES}
+        out.append((failed, not failed and all(limits[m] is None or values[k][m] <= limits[m] for m in quality.RULES)))
     return out
 
 
-@pytest.mark.parametrize("min_rows", [5, 30, 1000])
-def test_quality(docs, rows, empty, min_rows):
-    want = [(r[0], *measured(r[1])[:5], *v) for r, v in zip(rows, judged(rows, min_rows), strict=True)]
-    d = quality.quality_report(docs, min_rows=min_rows)
+@pytest.mark.parametrize("prior", [0, 30])
+def test_quality(docs, rows, empty, prior):
+    want = [(r[0], *measured(r[1])[:5], *v) for r, v in zip(rows, judged(rows, prior), strict=True)]
+    d = quality.quality_report(docs, prior=prior)
     same(got(d, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"), want)
-    kept = quality.filter_quality(docs, min_rows=min_rows)
+    kept = quality.filter_quality(docs, prior=prior)
     assert kept.columns == docs.columns
     same(got(kept, "doc_id", "text"), [(r[0], r[1]) for r, w in zip(rows, want, strict=True) if w[-1]])
     assert quality.quality_report(empty).count() == quality.filter_quality(empty).count() == 0
 
 
+def test_quality_cutoffs_adapt(spark):
+    """Groups of other habits have other cutoffs, and what is common in one is rejected in another."""
+    rng = random.Random(2)
+    data = []
+    for k in range(600):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(60)]
+        for _ in range(rng.randint(20, 30) if k % 2 else int(rng.random() < 0.1)):
+            words[rng.randrange(60)] += "$"
+        data.append((k, " ".join(words), "en", "code" if k % 2 else "prose"))
+    data.append((600, " ".join(["word$" + "abcdefghijkl"[i % 12] + str(i) for i in range(25)] + [f"plain{i}" for i in range(35)]), "en", "prose"))
+    d = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    measured = quality.with_metrics(d).withColumns({"lang": F.col("row.lang"), "source": F.col("row.source")})
+    limits = {r["source"]: r for r in quality.thresholds(measured, prior=5).collect()}
+    assert limits["code"]["max_symbol_ratio"] > 5 * limits["prose"]["max_symbol_ratio"] > 0
+    assert limits["code"]["max_word_length"] != limits["prose"]["max_word_length"]
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality_report(d, prior=5).collect()}
+    assert not kept[600]
+    assert sum(kept[k] for k in range(1, 600, 2)) > 0.9 * 300
+    assert sum(kept[k] for k in range(0, 600, 2)) > 0.9 * 300
+
+
 def water(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
@@ -162,8 +194,6 @@ def test_mixing(docs, rows, empty):
 
 
 def test_permutation_is_one(spark):
-    from pyspark.sql import functions as F
-
     for n in (1, 2, 7, 100, 1000):
         d = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5), F.lit(1)).alias("x"))
         assert sorted(r[0] for r in d.collect()) == list(range(n))
