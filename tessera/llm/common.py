@@ -7,6 +7,9 @@ import tempfile
 from collections.abc import Iterable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,3 +96,13 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], max_rows: in
     of_hot = marked.filter(F.col("__hot")).join(F.broadcast(few), equal("__r_"), how)
     of_rest = marked.filter(F.col("__hot").isNull()).join(renamed.hint("merge"), equal("__r_"), how)
     return of_hot.unionByName(of_rest).drop("__hot", *drop)
+
+
+def lowered_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of ``texts`` (strings without nulls), A-Z lowered, in a row, and where each text's begin, and the last one's end."""
+    whole = texts.take(pa.array(np.arange(len(texts))))  # a slice of its own memory: Arrow lowers others wrongly after a cast
+    split = pc.ascii_split_whitespace(pc.ascii_lower(whole.cast(pa.large_string())))
+    flat = split.flatten()
+    there = pc.greater(pc.binary_length(flat), 0)
+    before = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])
+    return flat.filter(there), before[split.offsets.to_numpy() - split.offsets[0].as_py()]

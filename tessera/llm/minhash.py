@@ -1,30 +1,37 @@
 """MinHash near-dedup by an inverted join over signature coordinates.
 
 A document is the set of its 2-word shingles; equal sets are one class. A class has a signature of
-``COORDINATES`` minima and is posted under pairs (coordinate, value). Two classes that are similar
-enough agree in at least ``least`` coordinates (of 64, 38: a pair at the threshold of 0.8 agrees in
-fewer with probability 5e-5, a closer one in fewer far less often), so they share a posting among
-the 64 - ``least`` + 1 rarest of either (prefix); only those are posted, and of them only values that
-two classes have. Candidates are compared by signature, skipping those that can't reach ``least``,
-and the rest on their full sets.
-
-No list of postings is joined with itself at first. Each list links its members to its first one, a
-linear number of pairs; confirmed links make components. Then only lists that still hold two
-components give pairs, and only across components; hot lists are split by salts for it. So the
-components are those of all links, and a group of copies costs about a pair a member. Hubs with
-many pairs are split likewise.
-
-Shingles are compared by 48 bits of a 64-bit hash.
+``COORDINATES`` minima. Two classes that are similar enough agree in at least ``LEAST`` of them (of
+64, 38: a pair at the threshold of 0.8 agrees in fewer with probability 5e-5, a closer one in fewer
+far less often), so they differ in at most 26. The coordinates lie in 64 - 38 + 1 = 27 runs of two or
+three (the prefix of a run-wise order), and a class is posted under each run with its values: one
+run at least agrees as a whole, so no pair that reaches ``LEAST`` is missed. A run of several
+coordinates has a short list of postings where a single one's grows with the corpus.
+
+A posting carries the size of its set and four bits of each minimum, as four 64-bit planes. Where
+two postings meet, their collisions are counted on the planes, and pairs that can't reach ``LEAST``,
+or whose sizes rule them out, are skipped on the spot: nothing of them is written or shuffled. What
+is left, nearly all of it true links, is confirmed on the full sets.
+
+Only values that two classes post are kept (tokens are counted alone first, and a Bloom filter of
+bounded size keeps other postings from being shuffled). No list of postings is joined with itself at
+first: each list links its members to its first one, and each class is confirmed against the least
+of its lists' first ones. Confirmed links make components. Then only lists that still hold two
+components give pairs, only across components, hot lists split by salts. So the components are
+those of all links, and a group of copies costs about a pair a member.
+
+Sets aren't kept: those that are compared are made again from their texts.
 
 Cases: a null text, or one without a word, is empty, linked with nothing and kept; one word makes a
 set of one; rows that repeat are in one class; a null id counts as larger than any other, and a
 component without an id has null; an empty table gives an empty result; other columns are not read
-by ``near_dedup`` and pass through ``drop_near_copies``.
+by ``near_dedup`` and pass through ``drop_near_copies``. Components that don't settle raise an error.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.bloom import bits_of, n_blocks, test_rows
-from tessera.llm.common import cut, lookup_join, release, whole
+from tessera.llm.common import cut, lookup_join, lowered_words, whole
 from tessera.llm.tables import discard, stored
 
 U = np.uint64
@@ -44,34 +51,40 @@ _MIX = U(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(0, 2**63, COORDINATES).astype(U) * U(2) + U(1)
 _B = _RNG.integers(0, 2**63, COORDINATES).astype(U)
-WORDS = 400_000
+PLANES = ("p0", "p1", "p2", "p3")
+SLICE = 256  # texts looked at together
 
 
-class _Hashes(dict):
-    """Hashes of words, of which a bounded number is kept."""
+def runs(least: int) -> list[np.ndarray]:
+    """The coordinates in as many runs as one more than may differ."""
+    return np.array_split(np.arange(COORDINATES), COORDINATES - least + 1)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
 
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of ``texts`` in a row, and where each text's begin (and the last one's end)."""
+    words, ends = lowered_words(texts)
+    coded = words.dictionary_encode()
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()], U)
+    return hashes[coded.indices.to_numpy()] if len(hashes) else hashes, ends
 
-_HASHES = _Hashes()  # of this Python worker
 
-
-def shingles(text: bytes) -> np.ndarray:
-    """Hashes of the distinct 2-word shingles of ``text``, sorted; of the whole sequence if it is shorter."""
-    words = text.lower().split()
-    if not words:
+def shingles(w: np.ndarray) -> np.ndarray:
+    """Hashes of the distinct 2-word shingles of a text's word hashes, sorted; of the whole sequence if it is shorter."""
+    if not len(w):
         return np.zeros(0, U)
-    h = _HASHES
-    w = np.array([h[x] for x in words], U)
     s = w[:1] if len(w) == 1 else (w[:-1] * _MIX) ^ (w[1:] + (w[:-1] >> U(29)))
     s = (s ^ (s >> U(31))) * _MIX
     return np.unique(s ^ (s >> U(32)))
 
 
+def sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The set of each text."""
+    for at in range(0, len(texts), SLICE):
+        w, ends = words_of(texts.slice(at, SLICE))
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            yield shingles(w[a:b])
+
+
 def signature(s: np.ndarray) -> np.ndarray:
     """The least value of each of the hash functions."""
     out = np.full(COORDINATES, 2**32 - 1, np.uint32)
@@ -81,35 +94,43 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def _packed(s: np.ndarray) -> bytes:
-    """Six bytes a shingle."""
-    return np.unique(s >> U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def digest(s: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+
+
+def tokens_of(signatures: np.ndarray, least: int) -> np.ndarray:
+    """Each signature's (row's) run and values, hashed, a column a run."""
+    out = []
+    for k, run in enumerate(runs(least)):
+        v = np.full(len(signatures), k + 1, U)
+        for c in run:
+            v = (v ^ signatures[:, c].astype(U)) * _MIX
+            v ^= v >> U(29)
+        out.append(v)
+    return np.stack(out, axis=1)
 
 
-def _unpacked(b: bytes) -> np.ndarray:
-    x = np.zeros((len(b) // 6, 8), np.uint8)
-    x[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return x.view("<u8").ravel()
+def planes_of(signatures: np.ndarray) -> list[np.ndarray]:
+    """The low bits of the minima: one 64-bit number a plane."""
+    return [np.packbits((signatures >> np.uint32(k)) & np.uint32(1), axis=1).view(np.int64).ravel() for k in range(len(PLANES))]
 
 
-def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, mark, n_shingles, key, signature, shingles); mark is a hash of the text, key is null for empty sets."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("mark", T.LongType()), T.StructField("n_shingles", T.LongType()), *[T.StructField(k, T.BinaryType()) for k in ("key", "signature", "shingles")]])
+def sketches(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """(id, mark, n_shingles, key, tokens, planes); mark is a hash of the text, key is null for empty sets."""
+    kinds = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("mark", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("tokens", T.ArrayType(T.LongType()))]
+    schema = T.StructType([*kinds, *[T.StructField(p, T.LongType()) for p in PLANES]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
-                size, key, sig, packed = [], [], [], []
-                for text in b.column(2):
-                    s = shingles(text.as_py())
-                    size.append(len(s))
-                    key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                    sig.append(signature(s).tobytes() if len(s) else None)
-                    packed.append(_packed(s) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), *(pa.array(x, pa.binary()) for x in (key, sig, packed))], names=schema.names)
+            for at in range(0, batch.num_rows, SLICE):
+                b = batch.slice(at, SLICE)
+                each = list(sets(b.column(2)))
+                sig = np.array([signature(s) for s in each], np.uint32)
+                tokens = tokens_of(sig, least)
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(each) + 1, dtype=np.int32) * tokens.shape[1]), pa.array(tokens.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in each], pa.int64()), pa.array([digest(s) for s in each], pa.binary()), listed, *map(pa.array, planes_of(sig))], names=schema.names)
 
-    return docs.select(F.col(id_col), _mark(text_col).alias("__mark"), whole(text_col).cast("binary").alias("__text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), _mark(text_col).alias("__mark"), whole(text_col).alias("__text")).mapInArrow(run, schema)
 
 
 def _mark(text_col: str) -> Column:
@@ -117,66 +138,87 @@ def _mark(text_col: str) -> Column:
     return F.xxhash64(whole(text_col))
 
 
-def postings(classes: DataFrame, least: int) -> DataFrame:
-    """(token, key): the prefix of each class's signature, rarest pairs first, without pairs that only one class has."""
+def shared_postings(classes: DataFrame) -> DataFrame:
+    """(token, key, size, planes): the postings of ``classes`` under tokens that two of them have."""
+    posted = classes.select(F.explode("tokens").alias("token"), "key", "size", *PLANES)
+    shared = cut(posted.groupBy("token").count().filter("count > 1").select("token"))
+    blocks = n_blocks(shared.count())
+    # what passes the filter by chance meets no other posting
+    return cut(test_rows(posted, bits_of(shared, "token", blocks), "token", blocks).filter("maybe").drop("maybe"))
+
+
+def may_link(a: str, b: str, threshold: int, least: int) -> Column:
+    """Whether the postings ``a`` and ``b`` can be of a link, by their sizes and by their planes, on which equal minima always collide."""
+    get = lambda side, name: F.col(f"{side}.{name}")
+    differ = reduce(Column.bitwiseOR, [get(a, p).bitwiseXOR(get(b, p)) for p in PLANES])
+    sizes = 100 * F.least(get(a, "size"), get(b, "size")) >= threshold * F.greatest(get(a, "size"), get(b, "size"))
+    return sizes & (COORDINATES - F.bit_count(differ) >= least)
+
+
+def posting() -> Column:
+    return F.struct("key", "size", *PLANES)
+
+
+def star_pairs(posted: DataFrame, threshold: int, least: int) -> DataFrame:
+    """(a, b): each class with the least of its lists' first members that it can be linked with."""
+    hubs = posted.groupBy("token").agg(F.min(posting()).alias("x"), F.count("*").alias("n")).filter("n > 1").select(F.col("token").alias("t"), "x")
+    met = posted.select("token", posting().alias("y")).join(hubs.hint("merge"), F.col("token") == F.col("t"))
+    met = met.filter((F.col("x.key") < F.col("y.key")) & may_link("x", "y", threshold, least))
+    return met.groupBy(F.col("y.key").alias("b")).agg(F.min("x.key").alias("a")).select("a", "b")
+
+
+def cross_pairs(posted: DataFrame, labels: DataFrame, threshold: int, least: int, per_salt: int = 256) -> DataFrame:
+    """The pairs of a list that lie in different components and can be linked, hot lists split by salts."""
+    several = F.col("n") > 1
+    labelled = posted.join(labels.withColumnRenamed("key", "k").hint("merge"), F.col("key") == F.col("k"), "left").select("token", posting().alias("y"), F.coalesce("root", "key").alias("root"))
+    labelled = cut(labelled)
+    lists = labelled.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter(several & (F.col("lo") != F.col("hi"))).select(F.col("token").alias("t"), F.ceil(F.col("n") / per_salt).cast("int").alias("salts"))
+    rows = cut(labelled.join(lists.hint("merge"), F.col("token") == F.col("t")).select("token", "y", "root", "salts"))
+    left = rows.select("token", F.col("y").alias("x"), F.col("root").alias("ra"), F.pmod(F.xxhash64("y.key"), F.col("salts")).cast("int").alias("salt"))
+    right = rows.select(F.col("token").alias("t"), "y", F.col("root").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt2"))
+    on = (F.col("token") == F.col("t")) & (F.col("salt") == F.col("salt2")) & (F.col("x.key") < F.col("y.key")) & (F.col("ra") != F.col("rb")) & may_link("x", "y", threshold, least)
+    return left.join(right.hint("merge"), on).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+
+
+def sets_again(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, set) of the classes ``keys``, made of the text of one row of each."""
+    wanted = cut(classes.join(keys.select(F.col("key").alias("k")).hint("merge"), F.col("key") == F.col("k"), "left_semi").select(F.xxhash64("row.id", "row.mark").alias("h"), "key"))
+    blocks = n_blocks(max(1, wanted.count()))
+    rows = docs.select(F.xxhash64(F.col(id_col), _mark(text_col)).alias("h"), whole(text_col).alias("text"))
+    some = test_rows(rows, bits_of(wanted, "h", blocks), "h", blocks).filter("maybe").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coordinate = np.arange(COORDINATES, dtype=np.int64) << 32
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            token = (sig.astype(np.int64) | coordinate).ravel()
-            who = np.repeat(np.arange(batch.num_rows), COORDINATES)
-            yield pa.RecordBatch.from_arrays([pa.array(token), batch.column(0).take(pa.array(who))], names=["token", "key"])
-
-    posted = classes.select("key", "signature").mapInArrow(run, "token long, key binary")
-    counts = posted.groupBy("token").count().filter("count > 1").withColumnRenamed("token", "t")
-    shared = posted.join(counts.hint("merge"), F.col("token") == F.col("t")).select("key", F.struct("count", "token").alias("p"))
-    # values of this class alone are the rarest, and come first in the prefix
-    ranked = shared.groupBy("key").agg(F.sort_array(F.collect_list("p")).alias("ps"))
-    room = F.greatest(F.lit(0), F.lit(COORDINATES - least + 1) - (F.lit(COORDINATES) - F.size("ps")))
-    return ranked.select("key", F.explode(F.slice("ps", F.lit(1), room)).alias("p")).select("p.token", "key")
-
-
-def agreeing(a: np.ndarray, b: np.ndarray, least: int) -> bool:
-    """Whether two signatures agree in ``least`` coordinates; a quarter of them may rule it out."""
-    quarter = COORDINATES // 4
-    n = int((a[:quarter] == b[:quarter]).sum())
-    return n + COORDINATES - quarter >= least and n + int((a[quarter:] == b[quarter:]).sum()) >= least
-
-
-def confirmed(pairs: DataFrame, classes: DataFrame, threshold: int, least: int, per_task: int = 500) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: 100 * common >= threshold * union. A hub's pairs are split over salts, ``per_task`` in each."""
-    size = pairs.groupBy("a").agg(F.count("*").alias("pairs")).withColumnRenamed("a", "hub")
-    salted = pairs.join(size.hint("merge"), F.col("a") == F.col("hub")).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("pairs") / per_task)).alias("salt"))
-    salted = cut(salted)
-    of = classes.select(F.col("key").alias("k"), F.col("signature").alias("sig"), F.col("shingles").alias("set")).hint("merge")
-    left = salted.select("a", "salt").distinct().join(of, F.col("a") == F.col("k")).select(F.col("a").alias("a1"), F.col("salt").alias("salt1"), F.col("sig").alias("sig1"), F.col("set").alias("set1"))
-    right = salted.join(of, F.col("b") == F.col("k")).select(F.col("a").alias("a2"), F.col("salt").alias("salt2"), F.col("b").alias("b2"), F.col("sig").alias("sig2"), F.col("set").alias("set2"))
-
-    def compare(hubs: pa.Table, others: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if hubs.num_rows:
-            sig = np.frombuffer(hubs.column("sig1")[0].as_py(), np.uint32)
-            own = _unpacked(hubs.column("set1")[0].as_py())
-            hub = hubs.column("a1")[0].as_py()
-            for key, other_sig, packed in zip(*(others.column(c) for c in ("b2", "sig2", "set2")), strict=True):
-                if not agreeing(sig, np.frombuffer(other_sig.as_py(), np.uint32), least):
-                    continue
-                other = _unpacked(packed.as_py())
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                if 100 * both >= threshold * (len(own) + len(other) - both):
-                    out.append((hub, key.as_py()))
-        a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.Table.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    return left.groupBy("a1", "salt1").cogroup(right.groupBy("a2", "salt2")).applyInArrow(compare, "a binary, b binary")
+            for at in range(0, batch.num_rows, SLICE):
+                each = [s for s in sets(batch.column(0).slice(at, SLICE)) if len(s)]
+                offsets = np.concatenate([[0], np.cumsum([len(s) for s in each])]).astype(np.int32)
+                flat = np.concatenate([np.zeros(0, U), *each]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in each], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["key", "set"])
+
+    made = some.mapInArrow(run, "key binary, set array<long>")
+    return made.join(wanted.select(F.col("key").alias("k")).hint("merge"), F.col("key") == F.col("k"), "left_semi").dropDuplicates(["key"])
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, threshold: int, per_task: int = 500) -> DataFrame:
+    """The pairs (a, b) whose sets are similar: 100 * common >= threshold * union. A class in many pairs is split over salts, ``per_task`` in each."""
+    some = stored(sets_again(docs, id_col, text_col, classes, pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()))
+    size = pairs.groupBy("a").agg(F.ceil(F.count("*") / per_task).cast("int").alias("salts")).withColumnRenamed("a", "hub")
+    of = lambda name: some.select(F.col("key").alias(f"k_{name}"), F.col("set").alias(f"set_{name}")).hint("merge")
+    hubs = size.join(of("a"), F.col("hub") == F.col("k_a")).select("hub", "set_a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("of_salt"))
+    salted = pairs.join(size.hint("merge"), F.col("a") == F.col("hub")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+    met = salted.join(of("b"), F.col("b") == F.col("k_b")).join(hubs.hint("merge"), (F.col("a") == F.col("hub")) & (F.col("salt") == F.col("of_salt")))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    out = cut(met.withColumn("both", both).filter(100 * F.col("both") >= threshold * (F.size("set_a") + F.size("set_b") - F.col("both"))).select("a", "b"))
+    discard(some)
+    return out
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(key, root) for every node of ``edges`` (a, b): its component's least node.
 
     Large-star and small-star steps in turn: each node hands its larger, then its smaller neighbours
-    to its least one, until nothing changes. Minima are aggregated before they are joined back.
+    to its least one, until nothing changes; that not happening is an error. Minima are aggregated
+    before they are joined back.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     seen = None
@@ -192,63 +234,35 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
     roots = e.select(F.col("b").alias("key")).distinct()
     return e.select(F.col("a").alias("key"), F.col("b").alias("root")).unionByName(roots.select("key", F.col("key").alias("root")))
 
 
-def star_pairs(posted: DataFrame) -> DataFrame:
-    """Each list's first member with each other one."""
-    hubs = posted.groupBy("token").agg(F.min("key").alias("a"), F.count("*").alias("n")).filter("n > 1").withColumnRenamed("token", "t")
-    return posted.join(hubs.hint("merge"), F.col("token") == F.col("t")).filter("key <> a").select("a", F.col("key").alias("b")).distinct()
-
-
-def cross_pairs(posted: DataFrame, labels: DataFrame, per_salt: int = 256) -> DataFrame:
-    """The pairs of a list whose members lie in different components, hot lists split by salts."""
-    labelled = posted.join(labels.withColumnRenamed("key", "k").hint("merge"), F.col("key") == F.col("k"), "left").select("token", "key", F.coalesce("root", "key").alias("root"))
-    labelled = cut(labelled)
-    several = labelled.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select(F.col("token").alias("t"), F.ceil(F.col("n") / per_salt).cast("int").alias("salts"))
-    rows = cut(labelled.join(several.hint("merge"), F.col("token") == F.col("t")).select("token", "key", "root", "salts"))
-    left = rows.select("token", F.col("key").alias("a"), F.col("root").alias("ra"), F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"))
-    right = rows.select(F.col("token").alias("t2"), F.col("key").alias("b"), F.col("root").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt2"))
-    on = (F.col("token") == F.col("t2")) & (F.col("salt") == F.col("salt2")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
-    return left.join(right.hint("merge"), on).select("a", "b").distinct()
-
-
 def rooted(docs: DataFrame, id_col: str, text_col: str, threshold: int = 80, least: int = LEAST) -> DataFrame:
     """(id, mark, n_shingles, key, root): root is the least key of the component, null for empty sets."""
-    spark = docs.sparkSession
-    table = stored(sets_of(docs, id_col, text_col))
-    classes = table.filter(F.col("key").isNotNull())
-    unique = cut(classes.groupBy("key").agg(F.first("signature").alias("signature")))
-    posted = cut(postings(unique, least))
-    release(spark)
-    # what may be compared, by a filter of bounded size, so that only those sets shuffle
-    members = posted.select("key").distinct().withColumn("h", F.xxhash64("key"))
-    blocks = n_blocks(unique.count())
-    some = test_rows(classes.select("key", "signature", "shingles").withColumn("h", F.xxhash64("key")), bits_of(members, "h", blocks), "h", blocks).filter("maybe")
-    some = stored(some.select("key", "signature", "shingles").groupBy("key").agg(F.first("signature").alias("signature"), F.first("shingles").alias("shingles")))
-    of = cut(table.select("id", "mark", "n_shingles", "key"))
-    discard(table)
-    release(spark)
-    stars = star_pairs(posted)
-    links = cut(confirmed(stars, some, threshold, least))
-    release(spark)
-    labels = cut(components(links))
-    rest = cross_pairs(posted, labels).join(cut(stars).withColumnsRenamed({"a": "a1", "b": "b1"}).hint("merge"), (F.col("a") == F.col("a1")) & (F.col("b") == F.col("b1")), "left_anti")
-    more = cut(confirmed(rest, some, threshold, least))
-    if not more.isEmpty():
+    table = stored(sketches(docs, id_col, text_col, least))
+    of = table.select("id", "mark", "n_shingles", "key")
+    one = F.min_by(F.struct("tokens", "n_shingles", *PLANES), "mark").alias("one")
+    classes = stored(table.filter(F.col("key").isNotNull()).groupBy("key").agg(one, F.min(F.struct("mark", "id")).alias("row")).select("key", "row", "one.tokens", F.col("one.n_shingles").alias("size"), *[f"one.{p}" for p in PLANES]))
+    posted = shared_postings(classes)
+    stars = cut(star_pairs(posted, threshold, least))
+    labels = cut(components(confirmed(stars, docs, id_col, text_col, classes, threshold)))
+    tested = stars.withColumnsRenamed({"a": "a1", "b": "b1"})
+    rest = cut(cross_pairs(posted, labels, threshold, least).join(tested.hint("merge"), (F.col("a") == F.col("a1")) & (F.col("b") == F.col("b1")), "left_anti"))
+    if not rest.isEmpty():
+        more = confirmed(rest, docs, id_col, text_col, classes, threshold)
         labels = cut(components(labels.select(F.col("key").alias("a"), F.col("root").alias("b")).unionByName(more)))
-    discard(some)  # all that was compared is in checkpoints
-    release(spark)
-    root = F.coalesce("root", "key")
-    return lookup_join(of, labels, ["key"], F.struct("id", "mark"), how="left").select("id", "mark", "n_shingles", "key", root.alias("root"))
+    discard(classes)
+    return lookup_join(of, labels, ["key"], how="left").select("id", "mark", "n_shingles", "key", F.coalesce("root", "key").alias("root"))
 
 
 def clustered(docs: DataFrame, id_col: str, text_col: str, threshold: int = 80, least: int = LEAST) -> DataFrame:
     """(id, n_shingles, key, component_id): component_id is the least id of the component."""
     labelled = rooted(docs, id_col, text_col, threshold, least)
     least_id = cut(labelled.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("rows")).filter("rows > 1").select("root", "component_id"))
-    out = lookup_join(labelled, least_id.withColumn("found", F.lit(True)), ["root"], F.struct("id"), how="left")
+    out = lookup_join(labelled, least_id.withColumn("found", F.lit(True)), ["root"], how="left")
     return out.select("id", "n_shingles", "key", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
@@ -267,7 +281,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key", "mark")
     best = cut(labelled.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("rows")).filter("rows > 1").select("root", "best"))
     same = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key")) & (F.col("mark") == F.col("best.mark"))
-    listed = lookup_join(labelled, best, ["root"], F.struct("id", "mark")).groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.max(same).alias("__keep"), F.count("*").alias("rows"))
+    listed = lookup_join(labelled, best, ["root"]).groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.max(same).alias("__keep"), F.count("*").alias("rows"))
     # of the other rows, nothing is to be done
     listed = cut(listed.filter("not __keep or rows > 1").select("__id", "__mark", "__keep"))
     blocks = n_blocks(max(1, listed.count()))
@@ -277,3 +291,20 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rest = found.filter(F.col("__keep").isNull()).select("row.*")
     one = found.filter("__keep").groupBy("id", "mark").agg(F.first("row").alias("row")).select("row.*")
     return tested.filter(~F.col("maybe")).select("row.*").unionByName(rest).unionByName(one)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM w
+), n AS (
+  SELECT w.doc_id, count(g) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b USING (g) JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM n UNION SELECT reach.doc_id, b FROM reach JOIN links ON other = a
+)
+SELECT doc_id, n AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept FROM n JOIN reach USING (doc_id) GROUP BY doc_id, n
+"""

@@ -37,4 +37,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": exact_dedup.ORACLE}
+    return {"op6_quality": quality.ORACLE, "op7_minhash": minhash.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}

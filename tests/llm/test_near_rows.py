@@ -1,4 +1,6 @@
-"""Near dedup decides by row where ids are null or repeat."""
+"""Near dedup decides by row where ids are null or repeat; its sets are those of the texts."""
+
+import pyarrow as pa
 
 from tessera.llm import minhash
 
@@ -18,3 +20,14 @@ def test_rows_with_null_and_repeated_ids(spark):
     left = [tuple(r) for r in minhash.drop_near_copies(docs).collect()]
     assert sorted((r for r in left if r not in either), key=str) == sorted(clean, key=str)
     assert sorted((r[1] or "")[0] for r in left if r in either) == ["f", "g"]
+
+
+def test_sets_of_slices():
+    """Sets don't depend on where in an Arrow batch a text lies."""
+    texts = [f"A{k} b  c{k}\x0b\n d" if k % 5 else " " * (k % 3) for k in range(1000)]
+    want = []
+    for t in texts:
+        w = t.lower().split()
+        want.append(len(set(zip(w, w[1:], strict=False))))
+    assert [len(s) for s in minhash.sets(pa.array(texts))] == want
+    assert [len(s) for s in minhash.sets(pa.array(texts).slice(300, 400))] == want[300:700]
