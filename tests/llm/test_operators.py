@@ -172,7 +172,7 @@ def water(sizes):
         target |= {s: 3.0 * sizes[s] for s in over}
 
 
-def test_mixing(docs, rows, empty):
+def test_mixing(spark, docs, rows, empty):
     size = [len(WORDS.findall(r[1] or "")) for r in rows]
     by = collections.Counter()
     for r, n in zip(rows, size, strict=True):
@@ -187,6 +187,18 @@ def test_mixing(docs, rows, empty):
         taken[r["source"]] += r["taken"]
     assert all(abs(taken[s] - target[s]) <= 24 for s in by)
     assert got(mixing.mix(docs.repartition(5), block_words=8), "doc_id", "taken") == got(mixing.mix(docs, block_words=8), "doc_id", "taken")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:  # no setting of the session changes the mix
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        again = mixing.mix(docs, block_words=8, bucket_rows=10)
+        assert got(again, "doc_id", "taken", "first_shard") == got(mixing.mix(docs.repartition(2), block_words=8, bucket_rows=10), "doc_id", "taken", "first_shard")
+        assert got(mixing.mix(docs, block_words=8), "doc_id", "taken") == got(docs.sparkSession.createDataFrame(out), "doc_id", "taken")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    sharded = mixing.mixed_documents(docs, block_words=8, shard_slots=50, shard_col="shard")
+    assert sharded.columns == [*docs.columns, "shard"]
+    by_shard = collections.Counter(r["shard"] for r in sharded.collect())
+    assert len(by_shard) > 10 and max(by_shard.values()) < 40
     assert mixing.mix(empty).count() == mixing.mixed_documents(empty).count() == 0
     whole = mixing.mixed_documents(docs)
     assert whole.columns == docs.columns
@@ -197,6 +209,8 @@ def test_permutation_is_one(spark):
     for n in (1, 2, 7, 100, 1000):
         d = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5), F.lit(1)).alias("x"))
         assert sorted(r[0] for r in d.collect()) == list(range(n))
+        back = d.select(mixing.permuted(F.col("x"), F.lit(n).cast("long"), F.lit(5), F.lit(1), back=True).alias("k")).collect()
+        assert [r[0] for r in back] == list(range(n))
 
 
 def draw(key, child, weight):
