@@ -2,13 +2,15 @@
 
 Each language has a bounded sample of labelled text and the suffix automaton of that sample. A text
 is parsed greedily into phrases, each the longest match of the automaton (and at least one
-character); the fewer phrases a character, normalised by the bits that a place in the sample takes,
+character; one that the sample has not costs ESCAPE more); the fewer phrases a character, normalised by the bits that a place in the sample takes,
 the closer the language. The language with the lowest entropy wins.
 
 The sample is bounded: ``passages`` passages of ``passage_chars`` characters a language, chosen by a
 hash of id and text and taken at a hashed place; the driver holds it and broadcasts it. Texts are
-parsed whole, with runs of anything but letters as one space. An automaton is a dense table, so that many texts advance together, a character a
-step; a text is laid out in rows of ``ROW`` characters, at whose ends a phrase ends.
+parsed whole, with runs of anything but letters as one space. Many texts advance together, a
+character a step; a text is laid out in rows of ``ROW`` characters, at whose ends a phrase ends. An
+automaton is a dense table for the sample's ``DENSE`` commonest characters, and a sorted list of
+(state, character) for all its others; no character of the sample is left out.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; so is every text if nothing
 was learned. Only rows with a language and an id are learned from; a null id is not held out. Ties
@@ -33,7 +35,8 @@ from pyspark.sql import Window as W
 from tessera.llm.common import whole
 
 ROW = 1024
-SYMBOLS = 95  # the characters of a language's sample that are told apart
+DENSE = 47  # the characters of a sample that have a place in the dense table
+ESCAPE = 0.25  # what a character that a sample has not costs besides its phrase
 BATCH_CHARS = 2_000_000
 
 
@@ -103,17 +106,19 @@ ALPHA = np.fromiter((chr(c).isalpha() for c in range(65536)), bool, 65536)
 
 
 class Parser:
-    """The automaton of one language as a table. Entry (state, symbol) is the next state times the
-    table's width; its sign bit says that a phrase ended before the symbol. Symbol 0 is any character
-    that the sample hasn't, always a phrase of its own."""
+    """The automaton of one language. In the dense table, entry (state, symbol) is the next state times
+    the table's width; its sign bit says that a phrase ended before the symbol. Symbol 0 is any
+    character that the sample hasn't, always a phrase of its own, and ESCAPE more. Symbols above DENSE are looked up
+    in ``keys``; where a state has no arc for one, a phrase ends and the root's arc is taken."""
 
     def __init__(self, passages: list[str]) -> None:
         text = " ".join(_letters(np.frombuffer(p.encode("utf-32-le", "surrogatepass"), np.uint32), ALPHA).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").lower() for p in passages)
         self.bits = math.log2(max(2, len(text)))
-        common = [c for c, _ in sorted(Counter(text).items(), key=lambda x: (-x[1], x[0]))[:SYMBOLS]]
+        common = [c for c, _ in sorted(Counter(text).items(), key=lambda x: (-x[1], x[0]))]
         number = {c: k for k, c in enumerate(common, 1)}
-        width = len(common) + 1
-        self.code = np.zeros(65536, np.uint8)
+        self.width = width = min(DENSE, len(common)) + 1
+        self.size = len(common) + 1
+        self.code = np.zeros(65536, np.int32)
         for c, k in number.items():
             if ord(c) < 65536:
                 self.code[ord(c)] = k
@@ -121,23 +126,44 @@ class Parser:
             low = chr(c).lower()
             if len(low) == 1 and low != chr(c) and ord(low) < 65536:
                 self.code[c] = self.code[ord(low)]
+        beyond = sorted(c for c in common if ord(c) >= 65536)
+        self.beyond = np.array([ord(c) for c in beyond], np.int64)
+        self.beyond_code = np.array([number[c] for c in beyond], np.int32)
         step = suffix_automaton(text)
         root = np.zeros(width, np.int32)
         root[0] = len(step) * width  # a last state, from which every symbol starts a phrase
+        self.starts = np.zeros(self.size, np.int32)  # the root's arcs
+        sparse: list[tuple[int, int]] = []
         for c, n in step[0].items():
-            if c in number:
+            self.starts[number[c]] = n * width
+            if number[c] < width:
                 root[number[c]] = n * width
         table = np.tile(root | np.int32(-(2**31)), (len(step) + 1, 1))
         for s, arcs in enumerate(step):
             for c, n in arcs.items():
-                if c in number:
+                if number[c] < width:
                     table[s, number[c]] = n * width
+                else:
+                    sparse.append((s * self.size + number[c], n * width))
         table[0, 0] = root[0]
         self.table = table.ravel()
-
-    def phrases(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        sparse.sort()
+        self.keys = np.array([k for k, _ in sparse], np.int64)
+        self.to = np.array([n for _, n in sparse], np.int32)
+
+    def codes(self, points: np.ndarray) -> np.ndarray:
+        """The symbols of code points."""
+        out = self.code[np.where(points < 65536, points, 0)]
+        if len(self.beyond) and (high := points >= 65536).any():
+            at = np.minimum(np.searchsorted(self.beyond, points[high]), len(self.beyond) - 1)
+            out[high] = np.where(self.beyond[at] == points[high], self.beyond_code[at], 0)
+        return out
+
+    def phrases(self, points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases in each row of code points; the rows are sorted by length, longest first."""
-        codes = np.ascontiguousarray(self.code[rows].T)
+        codes = np.ascontiguousarray(self.codes(points).T)
+        rare = codes >= self.width
+        some = rare.any(axis=1)
         n = len(lengths)
         count = np.zeros(n, np.int32)
         state = np.zeros(n, np.int32)
@@ -146,11 +172,21 @@ class Parser:
             k = alive[t]
             if not k:
                 break
-            v = self.table[state[:k] + codes[t, :k]]
+            c = codes[t, :k]
+            if some[t]:
+                at = np.flatnonzero(rare[t, :k])
+                key = (state[at] // self.width).astype(np.int64) * self.size + c[at]
+                place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                arc = self.keys[place] == key
+                v = self.table[state[:k] + np.where(rare[t, :k], 0, c)]
+                v[at] = np.where(arc, self.to[place], self.starts[c[at]] | np.int32(-(2**31)))
+            else:
+                v = self.table[state[:k] + c]
             count[:k] -= v >> 31
             state[:k] = v & 0x7FFFFFFF
         # the first symbol of a row is a match from the root, not a phrase that ended
-        return count + 1
+        unknown = (codes == 0) & (np.arange(codes.shape[0])[:, None] < lengths)
+        return count + 1 + ESCAPE * unknown.sum(axis=0)
 
 
 class Identifier:
@@ -178,7 +214,6 @@ class Identifier:
         if not starts or not self.langs:
             return bits, letters
         flat = np.concatenate([*points, np.zeros(ROW, np.uint32)])
-        flat = np.where(flat < 65536, flat, 0).astype(np.uint16)
         order = np.argsort(-np.array(lengths), kind="stable")
         start, length, own = np.array(starts)[order], np.array(lengths)[order], np.array(owner)[order]
         rows = flat[start[:, None] + np.arange(length[0])[None, :]]

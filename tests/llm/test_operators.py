@@ -338,7 +338,7 @@ def test_bpe_finds_what_merging_finds():
 
 
 def phrases(text, sample):
-    count = at = 0
+    count, at = langid.ESCAPE * sum(c not in sample for c in text), 0
     while at < len(text):
         n = 1
         while at + n < len(text) and text[at : at + n + 1] in sample:
@@ -401,6 +401,24 @@ def spelling(words):
     return p, word
 
 
+def test_langid_tells_all_characters_apart():
+    """Two languages of 2,000 characters each, in and above the BMP; phrases are those of the automaton. Ties go to the first name."""
+    rng = random.Random(12)
+    alphabets = {"aa": [chr(0x4E00 + k) for k in range(1900)] + [chr(0x20000 + k) for k in range(100)], "bb": [chr(0x4E00 + 1900 + k) for k in range(1900)] + [chr(0x20100 + k) for k in range(100)]}
+    words = {x: ["".join(rng.choice(a) for _ in range(rng.randint(1, 3))) for _ in range(800)] for x, a in alphabets.items()}
+    passage = lambda x, n: " ".join(rng.choice(words[x]) for _ in range(n))
+    ident = langid.Identifier({x: [passage(x, 400) for _ in range(10)] for x in words})
+    texts = [passage(x, n) for x in words for n in (1, 5, 60) for _ in range(20)]
+    assert ident.predict(texts)[0] == [x for x in words for _ in range(60)]
+    sample = passage("aa", 300)
+    one = langid.Identifier({"aa": [sample]})
+    for text in texts:
+        bits, _ = one.entropies([text])
+        whole = sum(phrases(text[k : k + langid.ROW], sample) for k in range(0, len(text), langid.ROW))
+        assert bits[0, 0] == pytest.approx(whole * one.parsers[0].bits / len(text))
+    assert langid.Identifier({"zz": [sample], "yy": [sample]}).predict(texts)[0] == ["yy"] * len(texts)
+
+
 def test_lm(spark, docs, rows, empty):
     out = {(r["doc_id"], r["n_tokens"]): r for r in lm.score(docs, share=0.01, chunk_bytes=3000).collect()}
     tokens = [([w for w in (t or "").encode().lower().split()] + [b""]) for _, t, *_ in rows]
