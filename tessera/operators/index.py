@@ -6,11 +6,11 @@ Positions run through a document's infoboxes, main text, citations and categorie
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tessera.config import EngineConfig
 from tessera.operators import graph
@@ -30,18 +30,29 @@ class Index:
     page_rank: DataFrame
 
     def save(self, path: str, dump_id: int) -> None:
-        """Write version ``dump_id``, then the pointer to it, so that readers see a whole version. Postings are sorted by token: row groups are skipped by it."""
+        """Write version ``dump_id``, then move the pointer to it in one step, so that readers see a whole version.
+
+        Texts are tokenised once for the postings; tf and dictionary are counted from what was
+        written. Tables with tokens are sorted by them: row groups are skipped.
+        """
         spark = self.docs.sparkSession
-        for f in fields(self):
-            df = getattr(self, f.name)
-            if f.name in ("postings", "tf", "dictionary"):
-                order = [c for c in ("token", "doc_id", "pos") if c in df.columns]
-                df = df.repartitionByRange("token").sortWithinPartitions(*order)
+        folder = f"{path}/dump_id={dump_id}"
+
+        def write(name: str, df: DataFrame) -> DataFrame:
+            if "token" in df.columns:
+                df = df.repartitionByRange("token").sortWithinPartitions(*[c for c in ("token", "doc_id", "pos") if c in df.columns])
             writer = df.write.mode("overwrite")
             if "token" in df.columns:
                 writer = writer.option("parquet.bloom.filter.enabled#token", "true")
-            writer.parquet(f"{path}/dump_id={dump_id}/{f.name}")
-        spark.createDataFrame([(json.dumps({"dump_id": dump_id}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
+            writer.parquet(f"{folder}/{name}")
+            return spark.read.schema(schemas.INDEX[name]).parquet(f"{folder}/{name}")
+
+        tf = write("tf", tf_of(write("postings", self.postings)))
+        write("dictionary", dictionary_of(tf))
+        for f in fields(self):
+            if f.name not in ("postings", "tf", "dictionary"):
+                write(f.name, getattr(self, f.name))
+        _point(spark, path, dump_id)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, dump_id: int | None = None) -> Index:
@@ -51,6 +62,19 @@ class Index:
         return cls(**{name: spark.read.schema(ddl).parquet(f"{path}/dump_id={version}/{name}") for name, ddl in schemas.INDEX.items()})
 
 
+def _point(spark: SparkSession, path: str, dump_id: int) -> None:
+    """Write the pointer beside the old one and rename it over that: a reader finds the old or the new one."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    new, place = hadoop.Path(f"{path}/.current-{uuid.uuid4().hex}"), hadoop.Path(f"{path}/current")
+    out = new.getFileSystem(conf).create(new, True)
+    out.write(bytearray(json.dumps({"dump_id": dump_id}).encode()))
+    out.close()
+    rename = getattr(hadoop, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    hadoop.FileContext.getFileContext(place.getFileSystem(conf).getUri(), conf).rename(new, place, how)
+
+
 def current(spark: SparkSession, path: str) -> int | None:
     """The version that ``path`` points to, or None."""
     place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current")
@@ -61,7 +85,7 @@ def current(spark: SparkSession, path: str) -> int | None:
 
 
 def segments(docs: DataFrame, index_title: bool = False) -> DataFrame:
-    """(doc_id, ord, elem, toks, n): a row a stretch of text, in the order of positions."""
+    """(doc_id, ord, elem, toks, n, start): a row a stretch of text, in the order of positions, and where it starts."""
     seg = lambda elem, text: F.struct(elem.cast("string").alias("elem"), F.coalesce(text, F.lit("")).alias("text"))
     kind = "array<struct<elem:string,text:string>>"
     parts = [
@@ -72,15 +96,13 @@ def segments(docs: DataFrame, index_title: bool = False) -> DataFrame:
     ]
     if index_title:
         parts.append(F.array(seg(F.lit("Title"), F.col("title"))).cast(kind))
-    each = docs.select("doc_id", F.posexplode(F.concat(*parts)).alias("ord", "s"))
-    toks = F.filter(F.split("s.text", " "), lambda x: x != "")
-    return each.select("doc_id", "ord", F.col("s.elem").alias("elem"), toks.alias("toks")).withColumn("n", F.size("toks"))
-
-
-def positioned(seg: DataFrame) -> DataFrame:
-    """``seg`` with the offset of each stretch; one shuffle, by document."""
-    before = F.sum("n").over(W.partitionBy("doc_id").orderBy("ord").rowsBetween(W.unboundedPreceding, -1))
-    return seg.withColumn("start", F.coalesce(before, F.lit(0)).cast("int"))
+    cells = lambda x: F.filter(F.split(x["text"], " "), lambda t: t != "")
+    cut = F.transform(F.concat(*parts), lambda x: F.struct(x["elem"].alias("elem"), cells(x).alias("toks")))
+    rows = docs.select("doc_id", cut.alias("s"))
+    # offsets are summed inside the row: no shuffle, and no window over a document
+    start = lambda k: F.aggregate(F.slice("s", F.lit(1), k), F.lit(0), lambda n, y: n + F.size(y["toks"]))
+    placed = F.transform("s", lambda x, k: F.struct(x["elem"].alias("elem"), x["toks"].alias("toks"), F.size(x["toks"]).alias("n"), start(k).alias("start")))
+    return rows.select("doc_id", F.posexplode(placed).alias("ord", "p")).select("doc_id", "ord", "p.*")
 
 
 def postings_of(placed: DataFrame) -> DataFrame:
@@ -119,7 +141,7 @@ def timestamp_of(text: str) -> Column:
 
 def build(docs: DataFrame, config: EngineConfig = EngineConfig(), edges: DataFrame | None = None, index_title: bool = False, rank: bool = True) -> Index:
     """The index of ``docs`` (schema DOCUMENT, unique ids); ``edges`` replaces the links in them."""
-    placed = positioned(segments(docs, index_title))
+    placed = segments(docs, index_title)
     postings = postings_of(placed)
     tf = tf_of(postings)
     links = edges_of(docs) if edges is None else edges
