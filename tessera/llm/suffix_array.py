@@ -20,6 +20,9 @@ anchor in a row make a region. Then:
 4. Repeated windows go back to their texts. A Bloom filter of bounded size keeps texts without any
    from being shuffled.
 
+Passages of words are found in the same way (``passage_words``): a text is written as four bytes of hash
+a word, A-Z lowered, and stretches that windows of that many words cover are counted in words.
+
 Matches never cross documents, as regions lie in one text. Equal texts share one text key, by which
 what was found for one holds for all.
 
@@ -32,16 +35,17 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.bloom import bits_of, n_blocks, test_rows
-from tessera.llm.common import lookup_join, whole
+from tessera.llm.common import lookup_join, release, whole
 from tessera.llm.tables import discard, stored
 
 U = np.uint64
@@ -116,7 +120,28 @@ def regions(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int,
     return text, i0 - starts[text], windows, at - i0, grams[at], _mixed(body ^ shape)
 
 
-def _scan(batch: pa.RecordBatch, length: int, k: int) -> Iterator[tuple[list[bytes], tuple[np.ndarray, ...]]]:
+WORD_BYTES = 4
+
+
+class _Hashes(dict):
+    """Hashes of words, of which a bounded number is kept."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= 400_000:
+            self.clear()
+        h = self[word] = xxhash.xxh32_digest(word)
+        return h
+
+
+_HASHES = _Hashes()  # of this Python worker
+
+
+def as_words(text: bytes) -> bytes:
+    """WORD_BYTES of hash for each word of ``text``, A-Z lowered."""
+    return b"".join(map(_HASHES.__getitem__, text.lower().split()))
+
+
+def _scan(batch: pa.RecordBatch, length: int, k: int, encode: Callable[[bytes], bytes] | None) -> Iterator[tuple[list[bytes], tuple[np.ndarray, ...]]]:
     """Keys and regions of the texts of a batch (columns key, text), some texts at a time."""
     keys: list[bytes] = []
     texts: list[bytes] = []
@@ -135,6 +160,8 @@ def _scan(batch: pa.RecordBatch, length: int, k: int) -> Iterator[tuple[list[byt
     again: dict[bytes, int] = {}
     for n in range(batch.num_rows):
         key, text = batch.column(0)[n].as_py(), batch.column(1)[n].as_py()
+        if encode:
+            text = encode(text)
         if len(text) < length:
             continue
         if key in seen:
@@ -331,12 +358,12 @@ class Settler:
         self.waiting, self.size, self.core = [], 0, 0
 
 
-def _region_rows(texts: DataFrame, length: int, k: int) -> DataFrame:
+def _region_rows(texts: DataFrame, length: int, k: int, encode: Callable[[bytes], bytes] | None) -> DataFrame:
     """(key, first, windows, at, anchor, body): a row a region. A row without an anchor says that a text occurs again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, (text, first, windows, at, anchor, body) in _scan(batch, length, k):
+            for keys, (text, first, windows, at, anchor, body) in _scan(batch, length, k, encode):
                 hashed = [pa.array(x) if len(x) else pa.nulls(len(text), t) for x, t in ((at.astype(np.int32), pa.int32()), (anchor.view(np.int64), pa.int64()), (body.view(np.int64), pa.int64()))]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).take(pa.array(text)), pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int32)), *hashed], names=["key", "first", "windows", "at", "anchor", "body"])
 
@@ -346,16 +373,23 @@ def _region_rows(texts: DataFrame, length: int, k: int) -> DataFrame:
 _SPAN = "key binary, start int, end int"
 
 
-def repeated_spans(texts: DataFrame, n_texts: int, length: int, k: int, max_kinds: int, block_bytes: int) -> DataFrame:
-    """(key, start, end): stretches of the texts (key, text) that repeated windows cover; they may overlap."""
-    spark = texts.sparkSession
-    found = stored(_region_rows(texts, length, k))
+def repeated_spans(texts: DataFrame, length: int, k: int, max_kinds: int, block_bytes: int, encode: Callable[[bytes], bytes] | None = None, hot_share: float = 0.001) -> DataFrame:
+    """(key, start, end): stretches of the texts (key, text), as ``encode`` writes them, that repeated windows cover; they may overlap."""
+    found = stored(_region_rows(texts, length, k, encode))
     rows = found.filter(F.col("anchor").isNotNull())
     span = lambda d: d.select("key", F.col("first").alias("start"), (F.col("first") + F.col("windows") - 1 + length).alias("end"))
     # a batch lists copies of its own texts, which repeat as a whole; other copies share all regions
     copies = span(found.filter(F.col("anchor").isNull()))
-    by_anchor = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("body").alias("least"), F.max("body").alias("most")).filter("n > 1")
-    shared = stored(rows.join(by_anchor.select(F.col("anchor").alias("a"), "least", "most"), F.col("anchor") == F.col("a")).drop("a"))
+    by_anchor = stored(rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("body").alias("least"), F.max("body").alias("most")).filter("n > 1"))
+    # a filter of bounded size keeps the regions that are alone from being shuffled, anchors of many regions are broadcast
+    blocks = n_blocks(max(1, by_anchor.count()))
+    maybe = test_rows(rows, bits_of(by_anchor.select("anchor"), "anchor", blocks), "anchor", blocks).filter("maybe").drop("maybe")
+    listed = by_anchor.select(F.col("anchor").alias("a"), "n", "least", "most")
+    many = F.col("n") > max(2, hot_share * found.count())
+    hot = F.broadcast(listed.filter(many))  # at most 1 / hot_share rows
+    same = F.col("anchor") == F.col("a")
+    few = maybe.join(hot.select("a"), same, "left_anti").join(listed.filter(~many).hint("merge"), same)
+    shared = stored(maybe.join(hot, same).unionByName(few).drop("a", "n"))
     decided = span(shared.filter("least = most"))
     mixed = shared.filter("least <> most").drop("least", "most")
     one = F.min(F.struct("key", "first", "windows", "at"))
@@ -375,6 +409,8 @@ def repeated_spans(texts: DataFrame, n_texts: int, length: int, k: int, max_kind
             out: list[tuple] = []
             for n in range(batch.num_rows):
                 key, text = batch.column(0)[n].as_py(), batch.column(2)[n].as_py()
+                if encode:
+                    text = encode(text)
                 for r in batch.column(1)[n].as_py():
                     piece = text[r["first"] : r["first"] + r["windows"] - 1 + length]
                     if not r["hot"]:
@@ -411,7 +447,7 @@ def repeated_spans(texts: DataFrame, n_texts: int, length: int, k: int, max_kind
     twice = windows.groupBy("window").count().filter("count > 1").select(F.col("window").alias("w"))
     crowded = windows.join(twice, F.col("window") == F.col("w"), "left_semi").select("key", F.col("first").alias("start"), (F.col("first") + length).alias("end"))
     out = stored(decided.unionByName(copies).unionByName(compared).unionByName(crowded).distinct())
-    discard(found, shared, kinds, wanted, pieces)
+    discard(found, by_anchor, shared, kinds, wanted, pieces)
     return out
 
 
@@ -425,18 +461,39 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, k: int = 100, max_kinds: int = 2000, block_bytes: int = 4 << 20) -> DataFrame:
-    """One row per document: id, n_bytes, kept (the remaining bytes) and spans (the removed runs)."""
+def passages(texts: DataFrame, words: int, max_kinds: int, block_bytes: int) -> DataFrame:
+    """(key, n_passage_words): the words of the texts (key, text) that lie in windows of ``words`` words which occur elsewhere too."""
+    spans = repeated_spans(texts, words * WORD_BYTES, 8 * WORD_BYTES, max_kinds, block_bytes, as_words)
+    listed = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [sum(c for x, y in _merged(row.as_py()) if (c := y // WORD_BYTES - -(-x // WORD_BYTES)) >= words) for row in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["key", "n_passage_words"])
+
+    out = stored(listed.mapInArrow(run, "key binary, n_passage_words long").filter("n_passage_words > 0"))
+    discard(spans)
+    return out
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, k: int = 100, max_kinds: int = 2000, block_bytes: int = 4 << 20, passage_words: int | None = None) -> DataFrame:
+    """One row per document: id, n_bytes, kept (the remaining bytes), spans (the removed runs) and n_passage_words (null unless ``passage_words`` is given)."""
     texts = docs.select(F.col(id_col).alias("id"), whole(text_col).cast("binary").alias("text")).withColumn("key", F.unhex(F.md5("text")))
     n = docs.count()
-    spans = repeated_spans(texts.select("key", "text"), n, length, k, max_kinds, block_bytes)
-    by_text = stored(spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    spans = repeated_spans(texts.select("key", "text"), length, k, max_kinds, block_bytes)
+    by_text = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")).withColumn("n_passage_words", F.lit(0).cast("long") if passage_words else F.lit(None).cast("long"))
+    by_text = stored(by_text)
     discard(spans)
+    if passage_words:
+        release(docs.sparkSession)
+        words = passages(texts.select("key", "text"), passage_words, max_kinds, block_bytes).withColumnRenamed("key", "wkey").withColumnRenamed("n_passage_words", "words")
+        both = by_text.join(words.hint("merge"), F.col("key") == F.col("wkey"), "full").select(F.coalesce("key", "wkey").alias("key"), "spans", F.coalesce("words", F.lit(0).cast("long")).alias("n_passage_words"))
+        by_text = stored(both)
     blocks = n_blocks(n)
     tested = test_rows(texts.withColumn("h", F.xxhash64("key")), bits_of(by_text.select(F.xxhash64("key").alias("h")), "h", blocks), "h", blocks)
-    untouched = tested.filter(~F.col("maybe")).select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.col("text").alias("kept"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    touched = lookup_join(tested.filter("maybe").select("id", "key", "text"), by_text, ["key"], how="left").select("id", "text", "spans")
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("spans", untouched.schema["spans"].dataType)])
+    untouched = tested.filter(~F.col("maybe")).select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.col("text").alias("kept"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(0 if passage_words else None).cast("long").alias("n_passage_words"))
+    touched = lookup_join(tested.filter("maybe").select("id", "key", "text"), by_text, ["key"], how="left").select("id", "text", "spans", F.coalesce("n_passage_words", F.lit(0 if passage_words else None).cast("long")).alias("n_passage_words"))
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("spans", untouched.schema["spans"].dataType), T.StructField("n_passage_words", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -450,12 +507,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                     size.append(len(text))
                     kept.append(b"".join(text[x:y] for x, y in zip(ends, [*(x for x, _ in runs), len(text)], strict=True)))
                     spans.append([{"start": x, "end": y} for x, y in runs])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, kind)], names=["id", "n_bytes", "kept", "spans"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, kind), b.column(3)], names=schema.names)
 
     return untouched.unionByName(touched.mapInArrow(run, schema)).withColumnRenamed("id", id_col)
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans and kept_sha256."""
-    d = dedup(docs, id_col, text_col, length)
-    return d.select(id_col, "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, passage_words: int = 51) -> DataFrame:
+    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, and n_passage_words: its words in passages of over 50 words that start anywhere else too."""
+    d = dedup(docs, id_col, text_col, length, passage_words=passage_words)
+    return d.select(id_col, "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words")

@@ -68,3 +68,38 @@ def test_against_brute_force(spark, seed, length, max_kinds):
 
 def test_empty_table(spark):
     assert digests(spark.createDataFrame([], "doc_id long, text string, n int")).count() == 0
+
+
+def brute_words(rows, n):
+    seen = {}
+    words = [(t or "").encode().lower().split() for _, t in rows]
+    for d, w in enumerate(words):
+        for i in range(len(w) - n + 1):
+            seen.setdefault(tuple(w[i : i + n]), []).append((d, i))
+    out = []
+    for (doc, _), w in zip(rows, words, strict=True):
+        inside = set()
+        for i in range(len(w) - n + 1):
+            if len(seen[tuple(w[i : i + n])]) > 1:
+                inside.update(range(i, i + n))
+        out.append((doc, len(inside)))
+    return sorted(out, key=str)
+
+
+def test_passages_of_words_and_long_texts(spark, monkeypatch):
+    """Words in passages of over 50 words against brute force; texts taken in slices give what whole ones do; other columns don't clash."""
+    from tessera.llm import suffix_array as sa
+
+    rows = corpus(4)
+    short = " ".join(f"w{k}" for k in range(55))  # over 50 words, under 400 bytes
+    rows += [(100, f"a {short} b"), (101, f"c d {short.upper()} e"), (102, f"f {' '.join(short.split()[:50])} g")]
+    docs = spark.createDataFrame([(*r, b"clash", "clash", 1) for r in rows], "doc_id long, text string, key binary, id string, h long").repartition(3)
+    got = {}
+    for longest in (sa._LONGEST, 450):
+        monkeypatch.setattr(sa, "_LONGEST", longest)
+        d = sa.digests(docs).collect()
+        assert sorted(((r["doc_id"], r["n_passage_words"]) for r in d), key=str) == brute_words(rows, 51)
+        got[longest] = sorted(map(tuple, d), key=str)
+    first, second = got.values()
+    assert first == second
+    assert [x[:5] for x in first] == sorted(brute(rows, 400), key=str)
