@@ -20,6 +20,14 @@ of its lists' first ones. Confirmed links make components. Then only lists that
 components give pairs, only across components, hot lists split by salts. So the components are
 those of all links, and a group of copies costs about a pair a member.
 
+Members of a group that are close without being linked would give pairs as the square of the group.
+So in that second step postings also carry an odd sketch of their set: ``ODD`` bits, each the parity
+of the number of shingles that hash to it. Two sets differ in at least as many shingles as their
+sketches in bits, so a pair whose sketches differ in more bits than a link may have shingles is none,
+without error, and isn't written. Pairs that are left are confirmed at once if they are few beside
+the classes; else each component first confirms its closest one, and pairs that this made part of one
+component are dropped, some times over, before all others are confirmed.
+
 Sets aren't kept: those that are compared are made again from their texts.
 
 Cases: a null text, or one without a word, is empty, linked with nothing and kept; one word makes a
@@ -30,7 +38,7 @@ by ``near_dedup`` and pass through ``drop_near_copies``. Components that don't s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -53,6 +61,7 @@ _A = _RNG.integers(0, 2**63, COORDINATES).astype(U) * U(2) + U(1)
 _B = _RNG.integers(0, 2**63, COORDINATES).astype(U)
 PLANES = ("p0", "p1", "p2", "p3")
 SLICE = 256  # texts looked at together
+ODD = 1024  # bits of an odd sketch, a multiple of 64
 
 
 def runs(least: int) -> list[np.ndarray]:
@@ -115,10 +124,15 @@ def planes_of(signatures: np.ndarray) -> list[np.ndarray]:
     return [np.packbits((signatures >> np.uint32(k)) & np.uint32(1), axis=1).view(np.int64).ravel() for k in range(len(PLANES))]
 
 
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """The parity of how many members of a set hash to each of ``ODD`` bits."""
+    return np.packbits(np.bincount((s >> U(32)).astype(np.int64) % ODD, minlength=ODD) & 1).view(np.int64)
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """(id, mark, n_shingles, key, tokens, planes); mark is a hash of the text, key is null for empty sets."""
+    """(id, mark, n_shingles, key, tokens, planes, odd); mark is a hash of the text, key is null for empty sets."""
     kinds = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("mark", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("tokens", T.ArrayType(T.LongType()))]
-    schema = T.StructType([*kinds, *[T.StructField(p, T.LongType()) for p in PLANES]])
+    schema = T.StructType([*kinds, *[T.StructField(p, T.LongType()) for p in PLANES], T.StructField("odd", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,8 +141,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFra
                 each = list(sets(b.column(2)))
                 sig = np.array([signature(s) for s in each], np.uint32)
                 tokens = tokens_of(sig, least)
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(each) + 1, dtype=np.int32) * tokens.shape[1]), pa.array(tokens.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in each], pa.int64()), pa.array([digest(s) for s in each], pa.binary()), listed, *map(pa.array, planes_of(sig))], names=schema.names)
+                lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.view(np.int64).ravel()))
+                odd = np.stack([odd_sketch(s) for s in each])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in each], pa.int64()), pa.array([digest(s) for s in each], pa.binary()), lists(tokens), *map(pa.array, planes_of(sig)), lists(odd)], names=schema.names)
 
     return docs.select(F.col(id_col), _mark(text_col).alias("__mark"), whole(text_col).alias("__text")).mapInArrow(run, schema)
 
@@ -167,17 +182,29 @@ def star_pairs(posted: DataFrame, threshold: int, least: int) -> DataFrame:
     return met.groupBy(F.col("y.key").alias("b")).agg(F.min("x.key").alias("a")).select("a", "b")
 
 
-def cross_pairs(posted: DataFrame, labels: DataFrame, threshold: int, least: int, per_salt: int = 256) -> DataFrame:
-    """The pairs of a list that lie in different components and can be linked, hot lists split by salts."""
+def may_reach(a: str, b: str, x: str, y: str, threshold: int) -> tuple[Column, Column]:
+    """In how many bits the odd sketches ``x`` and ``y`` of the postings ``a`` and ``b`` differ, and whether so few shingles can make a link."""
+    # by higher-order functions, as the terms written out make the join's loop too long for the JIT compiler
+    apart = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+    return apart, (100 + threshold) * apart.cast("long") <= (100 - threshold) * (F.col(f"{a}.size") + F.col(f"{b}.size"))
+
+
+def cross_pairs(posted: DataFrame, labels: DataFrame, classes: DataFrame, threshold: int, least: int, per_salt: int = 2048) -> DataFrame:
+    """(a, b, apart): the pairs of a list that lie in different components and can be linked, hot lists split by salts."""
     several = F.col("n") > 1
     labelled = posted.join(labels.withColumnRenamed("key", "k").hint("merge"), F.col("key") == F.col("k"), "left").select("token", posting().alias("y"), F.coalesce("root", "key").alias("root"))
     labelled = cut(labelled)
     lists = labelled.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter(several & (F.col("lo") != F.col("hi"))).select(F.col("token").alias("t"), F.ceil(F.col("n") / per_salt).cast("int").alias("salts"))
-    rows = cut(labelled.join(lists.hint("merge"), F.col("token") == F.col("t")).select("token", "y", "root", "salts"))
-    left = rows.select("token", F.col("y").alias("x"), F.col("root").alias("ra"), F.pmod(F.xxhash64("y.key"), F.col("salts")).cast("int").alias("salt"))
-    right = rows.select(F.col("token").alias("t"), "y", F.col("root").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt2"))
-    on = (F.col("token") == F.col("t")) & (F.col("salt") == F.col("salt2")) & (F.col("x.key") < F.col("y.key")) & (F.col("ra") != F.col("rb")) & may_link("x", "y", threshold, least)
-    return left.join(right.hint("merge"), on).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    rows = labelled.join(lists.hint("merge"), F.col("token") == F.col("t")).select("token", "y", "root", "salts")
+    rows = stored(rows.join(classes.select(F.col("key").alias("k"), "odd").hint("merge"), F.col("y.key") == F.col("k")).select("token", "y", "odd", "root", "salts"))
+    left = rows.select("token", F.col("y").alias("x"), F.col("odd").alias("ox"), F.col("root").alias("ra"), F.pmod(F.xxhash64("y.key"), F.col("salts")).cast("int").alias("salt"))
+    right = rows.select(F.col("token").alias("t"), "y", F.col("odd").alias("oy"), F.col("root").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt2"))
+    apart, reach = may_reach("x", "y", "ox", "oy", threshold)
+    on = (F.col("token") == F.col("t")) & (F.col("salt") == F.col("salt2")) & (F.col("x.key") < F.col("y.key")) & (F.col("ra") != F.col("rb")) & may_link("x", "y", threshold, least) & reach
+    # a salt's part of a list is what a task holds of it
+    out = cut(right.join(left.hint("merge"), on).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), apart.alias("apart")).distinct())
+    discard(rows)
+    return out
 
 
 def sets_again(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, keys: DataFrame) -> DataFrame:
@@ -240,20 +267,47 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("key"), F.col("b").alias("root")).unionByName(roots.select("key", F.col("key").alias("root")))
 
 
-def rooted(docs: DataFrame, id_col: str, text_col: str, threshold: int = 80, least: int = LEAST) -> DataFrame:
+def closest(rest: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs of ``rest`` that still lie in different components, and the closest one of each component."""
+    root = lambda name: labels.select(F.col("key").alias(f"k_{name}"), F.col("root").alias(f"r_{name}")).hint("merge")
+    across = rest.join(root("a"), F.col("a") == F.col("k_a"), "left").join(root("b"), F.col("b") == F.col("k_b"), "left")
+    across = cut(across.select("a", "b", "apart", F.coalesce("r_a", "a").alias("ra"), F.coalesce("r_b", "b").alias("rb")).filter("ra <> rb"))
+    of = lambda r: across.select(F.col(r).alias("r"), F.struct("apart", "a", "b").alias("pair"))
+    best = of("ra").unionByName(of("rb")).groupBy("r").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct()
+    return across.select("a", "b", "apart"), cut(best)
+
+
+def joined(rest: DataFrame, labels: DataFrame, confirm: Callable[[DataFrame], DataFrame], at_once: int, most_rounds: int = 4) -> DataFrame:
+    """``labels`` with the links among the pairs ``rest`` (a, b, apart); more than ``at_once`` pairs are thinned by rounds of the closest ones."""
+    for k in range(most_rounds + 1):
+        n = rest.count()
+        if not n:
+            return labels
+        last = n <= at_once or k == most_rounds
+        rest, best = (rest, rest) if last else closest(rest, labels)
+        more = confirm(best.select("a", "b"))
+        labels = cut(components(labels.select(F.col("key").alias("a"), F.col("root").alias("b")).unionByName(more)))
+        if last:
+            break
+        tested = best.withColumnsRenamed({"a": "a1", "b": "b1"})
+        untested = rest.join(tested.hint("merge"), (F.col("a") == F.col("a1")) & (F.col("b") == F.col("b1")), "left_anti")
+        rest = closest(untested, labels)[0]
+    return labels
+
+
+def rooted(docs: DataFrame, id_col: str, text_col: str, threshold: int = 80, least: int = LEAST, at_once: int | None = None) -> DataFrame:
     """(id, mark, n_shingles, key, root): root is the least key of the component, null for empty sets."""
     table = stored(sketches(docs, id_col, text_col, least))
     of = table.select("id", "mark", "n_shingles", "key")
-    one = F.min_by(F.struct("tokens", "n_shingles", *PLANES), "mark").alias("one")
-    classes = stored(table.filter(F.col("key").isNotNull()).groupBy("key").agg(one, F.min(F.struct("mark", "id")).alias("row")).select("key", "row", "one.tokens", F.col("one.n_shingles").alias("size"), *[f"one.{p}" for p in PLANES]))
+    one = F.min_by(F.struct("tokens", "n_shingles", *PLANES, "odd"), "mark").alias("one")
+    classes = stored(table.filter(F.col("key").isNotNull()).groupBy("key").agg(one, F.min(F.struct("mark", "id")).alias("row")).select("key", "row", "one.tokens", F.col("one.n_shingles").alias("size"), *[f"one.{p}" for p in PLANES], "one.odd"))
     posted = shared_postings(classes)
     stars = cut(star_pairs(posted, threshold, least))
-    labels = cut(components(confirmed(stars, docs, id_col, text_col, classes, threshold)))
+    confirm = lambda pairs: confirmed(pairs, docs, id_col, text_col, classes, threshold)
+    labels = cut(components(confirm(stars)))
     tested = stars.withColumnsRenamed({"a": "a1", "b": "b1"})
-    rest = cut(cross_pairs(posted, labels, threshold, least).join(tested.hint("merge"), (F.col("a") == F.col("a1")) & (F.col("b") == F.col("b1")), "left_anti"))
-    if not rest.isEmpty():
-        more = confirmed(rest, docs, id_col, text_col, classes, threshold)
-        labels = cut(components(labels.select(F.col("key").alias("a"), F.col("root").alias("b")).unionByName(more)))
+    rest = cut(cross_pairs(posted, labels, classes, threshold, least).join(tested.hint("merge"), (F.col("a") == F.col("a1")) & (F.col("b") == F.col("b1")), "left_anti"))
+    labels = joined(rest, labels, confirm, at_once if at_once is not None else max(10_000, classes.count() // 4))
     discard(classes)
     return lookup_join(of, labels, ["key"], how="left").select("id", "mark", "n_shingles", "key", F.coalesce("root", "key").alias("root"))
 
