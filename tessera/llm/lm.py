@@ -2,9 +2,9 @@
 
 The model spells its vocabulary: n-grams of words stand on n-grams of bytes. Its states are
 
-- a state for each word that makes up at least ``share`` of the training tokens (there are at most
-  1 / share of them). Its arcs carry the weight of the words of that kind that followed it,
-  (c(h, w) - d) / c(h); its failure arc leads to the root with the mass that is left;
+- a state for each word that was learned. Its arcs carry the weight of all words that followed it,
+  (c(h, w) - d) / c(h); its failure arc leads to the root with the mass that is left. A ``share``
+  above 0 gives a smaller model: states and arcs of words that make up so much of the tokens;
 - the root, with an arc for each word that was learned, (c - d) / N. Its failure arc carries the
   mass that the discount freed, d * V / N, to the spelling of the word;
 - contexts of two, one and no bytes, which spell a word to its end by smoothed 3-, 2- and 1-grams of
@@ -17,12 +17,14 @@ state of the end token, whose spelling is empty.
 
 1. Documents are read once, ``chunk_bytes`` together: a chunk is a row with its distinct words, their
    training counts in it, and its documents as lists of chunk-local word numbers.
-2. Counts are summed by word over all chunks; N, V, the discount and the frequent words come of them.
-3. Pairs of frequent words are counted over all training documents, bytes over all learned words.
-   These two tables are broadcast: at most 1 / share squared (1,000,000) and 2^24 cells.
-4. Counts of words that more than one chunk has go back to the chunks, where documents are traversed.
-
-A hot word costs one row a chunk, whatever its count, and no task holds more than some chunks of
+2. Counts are summed by word over all chunks; N, V and the discount come of them.
+3. Pairs are counted by chunk, then over all chunks under 64-bit hashes of both words, with the chunks
+   that have them; how many kinds of words followed a word is counted of that. Bytes are counted over
+   all learned words and broadcast, at most 2^24 cells; with ``share``, pairs of frequent words as well.
+4. Counts of words and of pairs that more than one chunk has go back to the chunks, where documents are
+   traversed.
+
+A hot word or pair costs one row a chunk, whatever its count, and no task holds more than some chunks of
 documents, or one document. Nothing is sampled, and no word is left out.
 
 Cases: a null text is the empty text, whose only token is the end; a null id is not held out but
@@ -39,6 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -140,6 +143,32 @@ def pair_counts(table: DataFrame, rank: dict[bytes, int]) -> np.ndarray:
     return out.reshape(k, k)
 
 
+def local_pairs(words: int, learn: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's distinct pairs as before * ``words`` + word, how often each was learned in it, and each token's pair by number."""
+    before = np.concatenate([np.zeros(1, np.int64), tokens[:-1].astype(np.int64)])[: len(tokens)]
+    before[np.cumsum(sizes) - sizes] = 0
+    codes, of = np.unique(before * words + tokens, return_inverse=True)
+    return codes, np.bincount(of[np.repeat(learn, sizes)], minlength=len(codes)), of
+
+
+def all_pairs(table: DataFrame, rows: int = 100_000) -> DataFrame:
+    """(h, w, n, at): the learned pairs of words by hash, how often each occurs, and the chunks and numbers it has there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, words, learn, sizes, tokens in zip(*(batch.column(c) for c in range(5)), strict=True):
+                hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in words.values.to_pylist()], np.uint64).view(np.int64)  # as Spark's xxhash64
+                n = np.asarray(sizes.values)
+                codes, counts, _ = local_pairs(len(hashes), learn.values.to_numpy(zero_copy_only=False).astype(bool), unpacked(tokens.as_py(), n), n)
+                for a in range(0, len(codes), rows):
+                    c = codes[a : a + rows]
+                    columns = [np.full(len(c), chunk.as_py()), np.arange(a, a + len(c)), hashes[c // len(hashes)], hashes[c % len(hashes)], counts[a : a + rows]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["chunk", "pair", "h", "w", "n"])
+
+    pairs = table.select("chunk", "words", "learn", "sizes", "tokens").mapInArrow(run, "chunk long, pair long, h long, w long, n long")
+    return pairs.groupBy("h", "w").agg(F.sum("n").alias("n"), F.collect_list(F.struct("chunk", "pair")).alias("at")).filter("n > 0")
+
+
 def spelled(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the byte 3-grams that spell each of ``words``, in a row, and how many each word has: one a byte, and the boundary."""
     lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -214,8 +243,11 @@ class Model:
         self.arc = np.pad(arc, ((0, 1), (0, 1)))  # the last state is the root, the last arc that of any other word
         self.backoff = np.append(backoff, 1.0)
 
-    def score(self, words: pa.Array, c: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
-        """n_known, base score and score of each text; ``words`` were learned ``c`` times."""
+    def score(self, words: pa.Array, c: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, pairs: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+        """n_known, base score and score of each text; ``words`` were learned ``c`` times.
+
+        ``pairs``: how often each token's pair was learned, and how many kinds of words followed each of ``words``, where all words are states.
+        """
         k = len(self.rank)
         rank = np.array([self.rank.get(w, k) for w in words.to_pylist()], np.int64)
         free = self.spelling.words(words) + self.log_free
@@ -227,16 +259,26 @@ class Model:
         starts = np.cumsum(sizes) - sizes
         before[starts] = self.rank.get(END, k)
         each = at_root[tokens]
-        back = self.backoff[before]
-        arc = self.arc[before, state]
+        if pairs is None:
+            back, arc = self.backoff[before], self.arc[before, state]
+        else:
+            n, kinds = pairs
+            h = np.concatenate([np.zeros(1, np.int64), tokens[:-1].astype(np.int64)])[: len(tokens)]
+            h[starts] = 0
+            total = np.maximum(c, 1)
+            back = np.where(c > 0, DISCOUNT * kinds / total, 1.0)[h]
+            arc = np.maximum(n - DISCOUNT, 0) / total[h]
         with np.errstate(divide="ignore"):
             each = np.where(arc > 0, np.log10(arc + back * 10**each), np.log10(back) + each)
         add = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0)
         return add((c > 0)[tokens].astype(np.int64)), add(np.log10(c + 1)[tokens]) - sizes * self.base, add(each)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 1e-3, chunk_bytes: int = 8 << 20) -> DataFrame:
-    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.0, chunk_bytes: int = 8 << 20) -> DataFrame:
+    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score and score.
+
+    ``share``: 0 for all words as states; above, only words that make up so much of the tokens are.
+    """
     context = docs.sparkSession.sparkContext
     table = stored(chunks(docs, id_col, text_col, chunk_bytes))
     listed = table.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "w")).select("chunk", "local", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
@@ -245,13 +287,21 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share
     row = totals.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), times(1).alias("once"), times(2).alias("twice")).first()
     n, v, once, twice = (int(x) for x in row)
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
-    top = totals.filter(F.col("c") >= max(1.0, share * n)).orderBy(F.desc("c"), "word").select("word", "c").collect() if n else []
+    top = totals.filter(F.col("c") >= max(1.0, share * n)).orderBy(F.desc("c"), "word").select("word", "c").collect() if n and share else []
     rank = {bytes(r["word"]): k for k, r in enumerate(top)}
     model = context.broadcast(Model(n, v, discount, rank, pair_counts(table, rank), np.array([r["c"] for r in top], float), byte_counts(totals)))
     # a word of one chunk has all its counts there
-    spread = totals.filter("chunks > 1").select(F.col("word").alias("of"), "c")
+    spread = totals.filter("chunks > 1").select(F.col("word").alias("of"), "c", F.lit(0).cast("long").alias("kinds"))
+    if not share:
+        pairs = stored(all_pairs(table))
+        kinds = pairs.groupBy("h").agg(F.count("*").alias("k"))
+        spread = spread.join(kinds, F.xxhash64("of") == F.col("h"), "left").select("of", "c", F.coalesce("k", "kinds").alias("kinds"))
     n_parts = 2 * max(1, table.select("chunk").count())
-    back = listed.select("chunk", "local", "word").join(spread, F.col("word") == F.col("of")).select(F.col("chunk").alias("part"), "local", "c").repartition(n_parts, "part")
+    back = listed.select("chunk", "local", "word").join(spread, F.col("word") == F.col("of")).select(F.col("chunk").alias("part"), F.col("local").cast("long").alias("local"), "c", "kinds", F.lit(False).alias("pair"))
+    if not share:
+        some = pairs.filter(F.size("at") > 1).select(F.explode("at").alias("x"), "n")
+        back = back.unionByName(some.select(F.col("x.chunk").alias("part"), F.col("x.pair").alias("local"), F.col("n").alias("c"), F.lit(0).cast("long").alias("kinds"), F.lit(True).alias("pair")))
+    back = back.repartition(n_parts, "part")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), *[T.StructField(k, T.LongType()) for k in ("n_tokens", "n_known", "train_tokens")], T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
     def traverse(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -259,8 +309,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share
         row = {c: left.column(c)[0] for c in left.column_names}
         sizes = np.asarray(row["sizes"].values)
         c = np.array(row["counts"].values)
-        c[right.column("local").to_numpy()] = right.column("c").to_numpy()
-        known, base, scored = m.score(row["words"].values, c, unpacked(row["tokens"].as_py(), sizes), sizes)
+        local, total, pair = (right.column(k).to_numpy() for k in ("local", "c", "pair"))
+        c[local[~pair]] = total[~pair]
+        tokens = unpacked(row["tokens"].as_py(), sizes)
+        counted = None
+        if not share:
+            codes, n, of = local_pairs(len(c), np.array(row["learn"].values.to_pylist(), bool), tokens, sizes)
+            followed = np.bincount(codes[n > 0] // len(c), minlength=len(c))
+            followed[local[~pair]] = right.column("kinds").to_numpy()[~pair]
+            n[local[pair]] = total[pair]
+            counted = n[of], followed
+        known, base, scored = m.score(row["words"].values, c, tokens, sizes, counted)
         columns = [row["ids"].values, row["held"].values, pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), m.n)), pa.array(base), pa.array(scored)]
         return pa.Table.from_arrays(columns, names=schema.names)
 
