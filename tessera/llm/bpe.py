@@ -7,7 +7,8 @@ last token; whether two tokens may follow each other is found by undoing their m
 Following the stored tokens back from the end gives exactly the ids of the merge procedure.
 
 The vocabulary file's path is a parameter; the driver reads the file and broadcasts its merges,
-whose size the file bounds. Words are cached, in two generations of bounded size.
+whose size the file bounds. Words are cached, in two generations of bounded size, as one string of bytes
+each. Workers give back what earlier stages left in them, as they are handed on with it.
 
 Cases: a null text is the empty text and has no tokens; the strings of special tokens in a text are
 those tokens; a text of any length is encoded whole; rows that repeat are encoded alike; an empty
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import whole
+from tessera.llm.common import trim, whole
 
 CACHE_WORDS = 200_000
 #: Separators that Python splits at and that aren't white space here.
@@ -89,8 +90,8 @@ class Encoder:
         self.letters = dict(enumerate(byte_letters()))
         self.pieces: dict[str, list[int]] = {}
         self.special = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
-        self.young: dict[str, tuple[int, str, str]] = {}
-        self.old: dict[str, tuple[int, str, str]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.fits: dict[int, bool] = {}
         # a token whose own string merges differently never comes up
         self.stands: list[bool] = []
@@ -228,11 +229,13 @@ class Encoder:
         text_of = self.v.text_of
         return " ".join([text_of[i] for i in ids])
 
-    def joined(self, text: str) -> tuple[int, str, str]:
-        """How many ids ``text`` has, the ids joined by a space, and the decoded text; words are cached as such strings."""
-        young, n = self.young, 0
-        ids: list[str] = []
-        texts: list[str] = []
+    def joined(self, text: str) -> tuple[int, bytes, bytes]:
+        """How many ids ``text`` has, the ids joined by a space, and the decoded text.
+
+        A word is cached as one string of bytes, its ids and its decoded text on two lines: tokens of words have no white space.
+        """
+        young = self.young
+        lines: list[bytes] = []
         for w in self.words(text):
             if w in young:
                 found = young[w]
@@ -240,17 +243,17 @@ class Encoder:
                 found = self.old.get(w)
                 if found is None:
                     x = self.word(w)
-                    found = (len(x), " ".join([str(i) for i in x]), self.decode(x))
+                    found = (" ".join([str(i) for i in x]) + "\n" + self.decode(x)).encode() if x else b""
                 if len(young) >= CACHE_WORDS:
                     self.old, self.young = young, {}
                     young = self.young
                 if len(w) < 64:
                     young[w] = found
-            if found[0]:
-                n += found[0]
-                ids.append(found[1])
-                texts.append(found[2])
-        return n, " ".join(ids), " ".join(texts)
+            if found:
+                lines.append(found)
+        parts = b"\n".join(lines).split(b"\n") if lines else []
+        ids = b" ".join(parts[::2])
+        return ids.count(b" ") + bool(ids), ids, b" ".join(parts[1::2])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -263,12 +266,13 @@ def encoder(source: str) -> Encoder:
         _ENCODERS.clear()
         _ENCODERS[key] = Encoder(Vocabulary(source))
         gc.freeze()  # the automaton stays; the collector needn't look at it again and again
+        trim()  # what was read of the file
     return _ENCODERS[key]
 
 
 def _shas(e: Encoder, text: str) -> tuple[int, str, str]:
     n, ids, decoded = e.joined(text)
-    return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+    return n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 def _map(docs: DataFrame, path: str, id_col: str, text_col: str, fields: list[T.StructField], one) -> DataFrame:
@@ -278,6 +282,7 @@ def _map(docs: DataFrame, path: str, id_col: str, text_col: str, fields: list[T.
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         e = encoder(source.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -285,6 +290,8 @@ def _map(docs: DataFrame, path: str, id_col: str, text_col: str, fields: list[T.
                 rows = [one(e, t.as_py()) for t in b.column(1)]
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c)) for c in columns)], names=names)
+            del batch
+            trim()
 
     return docs.select(F.col(id_col), whole(text_col).alias("__text")).mapInArrow(run, schema)
 
