@@ -18,13 +18,15 @@ state of the end token, whose spelling is empty.
 1. Documents are read once, ``chunk_bytes`` together: a chunk is a row with its distinct words, their
    training counts in it, and its documents as lists of chunk-local word numbers.
 2. Counts are summed by word over all chunks; N, V and the discount come of them.
-3. Pairs are counted by chunk, then over all chunks under 64-bit hashes of both words, with the chunks
-   that have them; how many kinds of words followed a word is counted of that. Bytes are counted over
-   all learned words and broadcast, at most 2^24 cells; with ``share``, pairs of frequent words as well.
-4. Counts of words and of pairs that more than one chunk has go back to the chunks, where documents are
-   traversed.
-
-A hot word or pair costs one row a chunk, whatever its count, and no task holds more than some chunks of
+3. Pairs are counted by chunk, then over all chunks in buckets of some ``TOKENS`` tokens, by the first word, or by
+   both words where the first is hot. A chunk sends a bucket one row: sorted 64-bit hashes of first words, those
+   of the words that followed each, as differences, and counts; inside a bucket a pair is told by 64 bits of both.
+   How many kinds of words followed a word is counted there too. Bytes are counted over all learned words and
+   broadcast, at most 2^24 cells; with ``share``, pairs of frequent words as well.
+4. Counts of words that more than one chunk has go back to the chunks, and a row a bucket with what the other chunks
+   add to the chunk's counts of pairs, in the order they were sent in. There documents are traversed.
+
+A hot word costs one row a chunk, whatever its count, and no task holds more than some chunks of
 documents, or one document. Nothing is sampled, and no word is left out.
 
 Cases: a null text is the empty text, whose only token is the end; a null id is not held out but
@@ -47,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import lowered_words, whole
+from tessera.llm.common import lowered_words, release, whole
 from tessera.llm.langid import remainder
 from tessera.llm.tables import stored
 
@@ -55,6 +57,8 @@ DISCOUNT = 0.75  # of n-grams of bytes and of pairs of words
 #: The end token; words are bytes and never empty. Its chunk-local number is 0.
 END = b""
 BOUND = 32  # the byte around a word; no word has it
+TOKENS = 2 << 20  # a bucket of pairs
+U = np.uint64
 
 
 def learns(id_col: str) -> F.Column:
@@ -151,22 +155,95 @@ def local_pairs(words: int, learn: np.ndarray, tokens: np.ndarray, sizes: np.nda
     return codes, np.bincount(of[np.repeat(learn, sizes)], minlength=len(codes)), of
 
 
-def all_pairs(table: DataFrame, rows: int = 100_000) -> DataFrame:
-    """(h, w, n, at): the learned pairs of words by hash, how often each occurs, and the chunks and numbers it has there."""
+def packed(*arrays: np.ndarray) -> bytes:
+    """64-bit numbers, by planes of bytes and compressed, behind how many each array has."""
+    planes = b"".join(np.ascontiguousarray(x.astype(U).view(np.uint8).reshape(-1, 8).T).tobytes() for x in arrays)
+    return np.array([len(x) for x in arrays], U).tobytes() + pa.compress(planes, codec="zstd", asbytes=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def opened(blob: bytes, arrays: int) -> list[np.ndarray]:
+    sizes = np.frombuffer(blob[: 8 * arrays], U).astype(np.int64)
+    flat = np.frombuffer(pa.decompress(blob[8 * arrays :], int(sizes.sum()) * 8, codec="zstd", asbytes=True), np.uint8)
+    ends = 8 * np.cumsum(sizes)
+    return [np.ascontiguousarray(flat[e - 8 * n : e].reshape(8, n).T).view(U).ravel() for n, e in zip(sizes, ends, strict=True)]
+
+
+def hashed(words: pa.Array) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w, 42) for w in words.to_pylist()], U)  # as Spark's xxhash64
+
+
+def mixed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A hash of each pair of hashes."""
+    x = h * U(0x9E3779B97F4A7C15) + w
+    x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
+    return x ^ (x >> U(32))
+
+
+def placed(hashes: np.ndarray, codes: np.ndarray, hot: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+    """The order of a chunk's pairs by bucket and hashes, and their buckets and hashes in it. Pairs are where their first word is; those of hot words are everywhere."""
+    before = codes // len(hashes)
+    h, w = hashes[before], hashes[codes % len(hashes)]
+    of = np.where(np.isin(hashes, hot)[before], mixed(h, w), h) % U(buckets)
+    order = np.lexsort((w, h, of))
+    return order, of[order].astype(np.int64), h[order], w[order]
+
+
+def bounds(of: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.concatenate([np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])), [len(of)]])
+
+
+def all_pairs(table: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
+    """(chunk, at, k, blob): for each chunk and bucket ``at`` how much more often its pairs, as ``placed``, were learned in all chunks than in it;
+    and, without a chunk, how many kinds of words ``k`` followed the word whose hash is ``at``, summands of it if it is hot."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, words, learn, sizes, tokens in zip(*(batch.column(c) for c in range(5)), strict=True):
-                hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in words.values.to_pylist()], np.uint64).view(np.int64)  # as Spark's xxhash64
-                n = np.asarray(sizes.values)
+                hashes, n = hashed(words.values), np.asarray(sizes.values)
                 codes, counts, _ = local_pairs(len(hashes), learn.values.to_numpy(zero_copy_only=False).astype(bool), unpacked(tokens.as_py(), n), n)
-                for a in range(0, len(codes), rows):
-                    c = codes[a : a + rows]
-                    columns = [np.full(len(c), chunk.as_py()), np.arange(a, a + len(c)), hashes[c // len(hashes)], hashes[c % len(hashes)], counts[a : a + rows]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["chunk", "pair", "h", "w", "n"])
-
-    pairs = table.select("chunk", "words", "learn", "sizes", "tokens").mapInArrow(run, "chunk long, pair long, h long, w long, n long")
-    return pairs.groupBy("h", "w").agg(F.sum("n").alias("n"), F.collect_list(F.struct("chunk", "pair")).alias("at")).filter("n > 0")
+                order, of, h, w = placed(hashes, codes, hot, buckets)
+                counts = counts[order]
+                ends = bounds(of)
+                blobs = []
+                for a, b in zip(ends[:-1], ends[1:], strict=True):
+                    starts = bounds(h[a:b])
+                    step = np.diff(w[a:b], prepend=U(0))
+                    step[starts[:-1]] = w[a:b][starts[:-1]]
+                    blobs.append(packed(np.diff(h[a:b][starts[:-1]], prepend=U(0)), np.diff(starts), step, counts[a:b]))
+                yield pa.RecordBatch.from_arrays([pa.array(of[ends[:-1]]), pa.array(np.full(len(blobs), chunk.as_py())), pa.array(blobs, pa.binary())], names=["bucket", "chunk", "blob"])
+
+    def add(part: pa.Table) -> pa.Table:
+        each = [opened(x.as_py(), 4) for x in part.column("blob")]
+        there = np.concatenate([np.cumsum(x[0], dtype=U) for x in each])  # the first words of each chunk
+        sizes = np.concatenate([x[1] for x in each]).astype(np.int64)
+        step, n = np.concatenate([x[2] for x in each]), np.concatenate([x[3] for x in each]).astype(np.int64)
+        lengths = [len(x[2]) for x in each]
+        del each
+        total = np.cumsum(step, dtype=U)  # wraps around, as its differences do
+        starts = np.cumsum(sizes) - sizes
+        w = total - np.repeat(total[starts] - step[starts], sizes)
+        h = np.repeat(there, sizes)
+        key = mixed(h, w)
+        del total, w, step
+        order = np.argsort(key)
+        ends = bounds(key[order])
+        learned = np.add.reduceat(n[order], ends[:-1])
+        kinds, k = np.unique(h[order[ends[:-1]]][learned > 0], return_counts=True)
+        more = np.empty_like(n)
+        more[order] = np.repeat(learned, np.diff(ends))
+        more -= n
+        firsts, chunks_of = np.unique(there, return_counts=True)
+        told = np.isin(kinds, firsts[chunks_of > 1]) | np.isin(kinds, hot)  # all others are followed in one chunk only
+        kinds, k = kinds[told], k[told]
+        at = np.cumsum([0, *lengths])
+        blobs = [packed(more[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        bucket = part.column("bucket")[0].as_py()
+        columns = [pa.array([*part.column("chunk").to_pylist(), *[None] * len(k)], pa.int64()), pa.array(np.concatenate([np.full(len(blobs), bucket, np.int64), kinds.view(np.int64)])), pa.array([*[None] * len(blobs), *k.tolist()], pa.int64()), pa.array([*blobs, *[None] * len(k)], pa.binary())]
+        return pa.Table.from_arrays(columns, names=["chunk", "at", "k", "blob"])
+
+    sent = table.select("chunk", "words", "learn", "sizes", "tokens").mapInArrow(send, "bucket long, chunk long, blob binary")
+    return sent.groupBy("bucket").applyInArrow(add, "chunk long, at long, k long, blob binary")
 
 
 def spelled(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -293,14 +370,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share
     # a word of one chunk has all its counts there
     spread = totals.filter("chunks > 1").select(F.col("word").alias("of"), "c", F.lit(0).cast("long").alias("kinds"))
     if not share:
-        pairs = stored(all_pairs(table))
-        kinds = pairs.groupBy("h").agg(F.count("*").alias("k"))
+        size = table.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+        buckets = -(-size // TOKENS) or 1
+        hot = hashed(pa.array([bytes(r["word"]) for r in totals.filter(F.col("c") * 4 * buckets > n).select("word").collect()], pa.binary()))
+        release(docs.sparkSession)
+        pairs = stored(all_pairs(table, hot, buckets))
+        release(docs.sparkSession)
+        kinds = pairs.filter("chunk is null").groupBy(F.col("at").alias("h")).agg(F.sum("k").alias("k"))
         spread = spread.join(kinds, F.xxhash64("of") == F.col("h"), "left").select("of", "c", F.coalesce("k", "kinds").alias("kinds"))
     n_parts = 2 * max(1, table.select("chunk").count())
-    back = listed.select("chunk", "local", "word").join(spread, F.col("word") == F.col("of")).select(F.col("chunk").alias("part"), F.col("local").cast("long").alias("local"), "c", "kinds", F.lit(False).alias("pair"))
+    back = listed.select("chunk", "local", "word").join(spread, F.col("word") == F.col("of")).select(F.col("chunk").alias("part"), F.col("local").cast("long").alias("local"), "c", "kinds", F.lit(None).cast("binary").alias("blob"))
     if not share:
-        some = pairs.filter(F.size("at") > 1).select(F.explode("at").alias("x"), "n")
-        back = back.unionByName(some.select(F.col("x.chunk").alias("part"), F.col("x.pair").alias("local"), F.col("n").alias("c"), F.lit(0).cast("long").alias("kinds"), F.lit(True).alias("pair")))
+        none = F.lit(None).cast("long")
+        back = back.unionByName(pairs.filter("chunk is not null").select(F.col("chunk").alias("part"), F.col("at").alias("local"), none.alias("c"), none.alias("kinds"), "blob"))
     back = back.repartition(n_parts, "part")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), *[T.StructField(k, T.LongType()) for k in ("n_tokens", "n_known", "train_tokens")], T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
@@ -309,15 +391,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share
         row = {c: left.column(c)[0] for c in left.column_names}
         sizes = np.asarray(row["sizes"].values)
         c = np.array(row["counts"].values)
-        local, total, pair = (right.column(k).to_numpy() for k in ("local", "c", "pair"))
-        c[local[~pair]] = total[~pair]
+        pair = right.column("blob").is_valid().to_numpy()
+        words, blobs = right.filter(pa.array(~pair)), right.filter(pa.array(pair))
+        local = words.column("local").to_numpy()
+        c[local] = words.column("c").to_numpy()
         tokens = unpacked(row["tokens"].as_py(), sizes)
         counted = None
         if not share:
             codes, n, of = local_pairs(len(c), np.array(row["learn"].values.to_pylist(), bool), tokens, sizes)
             followed = np.bincount(codes[n > 0] // len(c), minlength=len(c))
-            followed[local[~pair]] = right.column("kinds").to_numpy()[~pair]
-            n[local[pair]] = total[pair]
+            followed[local] = words.column("kinds").to_numpy()
+            order, bucket, _, _ = placed(hashed(row["words"].values), codes, hot, buckets)
+            ends = bounds(bucket)
+            found = dict(zip(blobs.column("local").to_pylist(), blobs.column("blob").to_pylist(), strict=True))
+            n[order] += np.concatenate([opened(found[k], 1)[0] for k in bucket[ends[:-1]].tolist()]).astype(np.int64)
             counted = n[of], followed
         known, base, scored = m.score(row["words"].values, c, tokens, sizes, counted)
         columns = [row["ids"].values, row["held"].values, pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), m.n)), pa.array(base), pa.array(scored)]
