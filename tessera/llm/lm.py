@@ -51,7 +51,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import lowered_words, release, whole
 from tessera.llm.langid import remainder
-from tessera.llm.tables import stored
+from tessera.llm.tables import discard, stored
 
 DISCOUNT = 0.75  # of n-grams of bytes and of pairs of words
 #: The end token; words are bytes and never empty. Its chunk-local number is 0.
@@ -381,6 +381,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share
     n_parts = 2 * max(1, table.select("chunk").count())
     back = listed.select("chunk", "local", "word").join(spread, F.col("word") == F.col("of")).select(F.col("chunk").alias("part"), F.col("local").cast("long").alias("local"), "c", "kinds", F.lit(None).cast("binary").alias("blob"))
     if not share:
+        back = stored(back)
+        discard(totals)
+        release(docs.sparkSession)
         none = F.lit(None).cast("long")
         back = back.unionByName(pairs.filter("chunk is not null").select(F.col("chunk").alias("part"), F.col("at").alias("local"), none.alias("c"), none.alias("kinds"), "blob"))
     back = back.repartition(n_parts, "part")
