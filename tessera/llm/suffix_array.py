@@ -45,12 +45,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.bloom import bits_of, n_blocks, test_rows
-from tessera.llm.common import lookup_join, release, whole
+from tessera.llm.common import lookup_join, release, trim, whole
 from tessera.llm.tables import discard, stored
 
 U = np.uint64
 PLACE_BITS = 24  # low bits of an anchor's rank, which hold its place; so much text is looked at at once
-_BUFFER = 1 << 19
+_BUFFER = 1 << 18
+_OUT = 1 << 20  # bytes of pieces, about, that a worker holds before it hands them on
+_ROW = 100  # what a row counts for besides
 _LONGEST = 1 << 22  # longer texts are taken in slices that overlap by a window
 _BASE = 0x9E3779B97F4A7C15
 _SYMBOL = np.random.default_rng(12345).integers(0, 2**63, 256).astype(U) * U(2) + U(1)
@@ -123,22 +125,9 @@ def regions(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int,
 WORD_BYTES = 4
 
 
-class _Hashes(dict):
-    """Hashes of words, of which a bounded number is kept."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh32_digest(word)
-        return h
-
-
-_HASHES = _Hashes()  # of this Python worker
-
-
 def as_words(text: bytes) -> bytes:
-    """WORD_BYTES of hash for each word of ``text``, A-Z lowered."""
-    return b"".join(map(_HASHES.__getitem__, text.lower().split()))
+    """WORD_BYTES of hash for each word of ``text``, A-Z lowered. Hashing beats looking hashes up, and keeps nothing."""
+    return b"".join(map(xxhash.xxh32_digest, text.lower().split()))
 
 
 def _scan(batch: pa.RecordBatch, length: int, k: int, encode: Callable[[bytes], bytes] | None) -> Iterator[tuple[list[bytes], tuple[np.ndarray, ...]]]:
@@ -327,8 +316,6 @@ class Settler:
             for group in cores.values():
                 if len(group) > 1:
                     self._group(kinds, flags, group, low, high)
-        if self.size > self.batch:
-            self.finish()
         return flags
 
     def _group(self, kinds: list[tuple[bytes, int]], flags: list[np.ndarray], group: list[tuple[int, int, int]], low: int, high: int) -> None:
@@ -348,6 +335,8 @@ class Settler:
             text = [c + 1 for c in hull[:a]] + [256 + self.core] + [c + 1 for c in hull[b:]]
             self.waiting.append((text, same, high - low + 1))
             self.size += len(text)
+        if self.size > self.batch:  # no window of this group occurs in another
+            self.finish()
 
     def finish(self) -> None:
         for symbols in {w[2] for w in self.waiting}:
@@ -362,19 +351,57 @@ def _region_rows(texts: DataFrame, length: int, k: int, encode: Callable[[bytes]
     """(key, first, windows, at, anchor, body): a row a region. A row without an anchor says that a text occurs again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for batch in batches:
             for keys, (text, first, windows, at, anchor, body) in _scan(batch, length, k, encode):
                 hashed = [pa.array(x) if len(x) else pa.nulls(len(text), t) for x, t in ((at.astype(np.int32), pa.int32()), (anchor.view(np.int64), pa.int64()), (body.view(np.int64), pa.int64()))]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).take(pa.array(text)), pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int32)), *hashed], names=["key", "first", "windows", "at", "anchor", "body"])
+        trim()
 
     return texts.select("key", "text").mapInArrow(run, "key binary, first int, windows int, at int, anchor long, body long")
 
 
+def _cut_out(batches: Iterator[pa.RecordBatch], length: int, encode: Callable[[bytes], bytes] | None) -> Iterator[pa.RecordBatch]:
+    """(anchor, key, first, at, n, piece, window): the regions of texts (key, regions, text), a row each, or a row a window if they are hot.
+
+    A text of hot regions gives a row a byte, so rows are handed on as they come, not a batch of texts at a time.
+    """
+    types = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    out: list[tuple] = []
+    size = 0
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["anchor", "key", "first", "at", "n", "piece", "window"])
+
+    trim()
+    for batch in batches:
+        for n in range(batch.num_rows):
+            key, text = batch.column(0)[n].as_py(), batch.column(2)[n].as_py()
+            if encode:
+                text = encode(text)
+            for r in batch.column(1)[n].as_py():
+                piece = text[r["first"] : r["first"] + r["windows"] - 1 + length]
+                if not r["hot"]:
+                    rows = [(r["anchor"], key, r["first"], r["at"], r["n"], piece, None)]
+                else:
+                    rows = ((r["anchor"], key, r["first"] + w, None, r["n"], None, hashlib.blake2b(piece[w : w + length], digest_size=16).digest()) for w in range(r["windows"]))
+                for row in rows:
+                    out.append(row)
+                    size += _ROW + len(row[5] or b"")
+                    if size >= _OUT:
+                        yield done()
+                        out, size = [], 0
+    if out:
+        yield done()
+    del out
+    trim()
+
+
 _SPAN = "key binary, start int, end int"
 
 
 def repeated_spans(texts: DataFrame, length: int, k: int, max_kinds: int, block_bytes: int, encode: Callable[[bytes], bytes] | None = None, hot_share: float = 0.001) -> DataFrame:
-    """(key, start, end): stretches of the texts (key, text), as ``encode`` writes them, that repeated windows cover; they may overlap."""
+    """(key, spans): for each text (key, text) the stretches, as ``encode`` writes it, that repeated windows cover; they may overlap."""
     found = stored(_region_rows(texts, length, k, encode))
     rows = found.filter(F.col("anchor").isNotNull())
     span = lambda d: d.select("key", F.col("first").alias("start"), (F.col("first") + F.col("windows") - 1 + length).alias("end"))
@@ -404,25 +431,7 @@ def repeated_spans(texts: DataFrame, length: int, k: int, max_kinds: int, block_
     some = some.select("key", "text").dropDuplicates(["key"])
     joined = wanted.withColumnRenamed("key", "wkey").join(some, F.col("wkey") == F.col("key")).select("key", "regions", "text")
 
-    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for n in range(batch.num_rows):
-                key, text = batch.column(0)[n].as_py(), batch.column(2)[n].as_py()
-                if encode:
-                    text = encode(text)
-                for r in batch.column(1)[n].as_py():
-                    piece = text[r["first"] : r["first"] + r["windows"] - 1 + length]
-                    if not r["hot"]:
-                        out.append((r["anchor"], key, r["first"], r["at"], r["n"], piece, None))
-                        continue
-                    for w in range(r["windows"]):
-                        out.append((r["anchor"], key, r["first"] + w, None, r["n"], None, hashlib.blake2b(piece[w : w + length], digest_size=16).digest()))
-            if out:
-                kinds_of = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds_of, strict=True)], names=["anchor", "key", "first", "at", "n", "piece", "window"])
-
-    pieces = stored(joined.mapInArrow(cut_out, "anchor long, key binary, first int, at int, n long, piece binary, window binary"))
+    pieces = stored(joined.mapInArrow(lambda batches: _cut_out(batches, length, encode), "anchor long, key binary, first int, at int, n long, piece binary, window binary"))
     size = pieces.agg(F.coalesce(F.sum(F.octet_length("piece")), F.lit(0)).alias("n")).first()["n"]
     n_parts = max(1, int(size) // block_bytes)
 
@@ -438,6 +447,8 @@ def repeated_spans(texts: DataFrame, length: int, k: int, max_kinds: int, block_
             for (key, first, _, n, _), hit in zip(members, hits, strict=True):
                 if n == 1:
                     out.extend((key, first + a, first + b + length) for a, b in _runs(hit))
+        del by, settler, flags
+        trim()
         columns = list(zip(*out, strict=True)) if out else [[], [], []]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["key", "start", "end"])
 
@@ -446,7 +457,7 @@ def repeated_spans(texts: DataFrame, length: int, k: int, max_kinds: int, block_
     windows = pieces.filter(F.col("window").isNotNull())
     twice = windows.groupBy("window").count().filter("count > 1").select(F.col("window").alias("w"))
     crowded = windows.join(twice, F.col("window") == F.col("w"), "left_semi").select("key", F.col("first").alias("start"), (F.col("first") + length).alias("end"))
-    out = stored(decided.unionByName(copies).unionByName(compared).unionByName(crowded).distinct())
+    out = stored(decided.unionByName(copies).unionByName(compared).unionByName(crowded).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
     discard(found, by_anchor, shared, kinds, wanted, pieces)
     return out
 
@@ -464,14 +475,14 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
 def passages(texts: DataFrame, words: int, max_kinds: int, block_bytes: int) -> DataFrame:
     """(key, n_passage_words): the words of the texts (key, text) that lie in windows of ``words`` words which occur elsewhere too."""
     spans = repeated_spans(texts, words * WORD_BYTES, 8 * WORD_BYTES, max_kinds, block_bytes, as_words)
-    listed = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for batch in batches:
             n = [sum(c for x, y in _merged(row.as_py()) if (c := y // WORD_BYTES - -(-x // WORD_BYTES)) >= words) for row in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["key", "n_passage_words"])
 
-    out = stored(listed.mapInArrow(run, "key binary, n_passage_words long").filter("n_passage_words > 0"))
+    out = stored(spans.mapInArrow(run, "key binary, n_passage_words long").filter("n_passage_words > 0"))
     discard(spans)
     return out
 
@@ -481,14 +492,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     texts = docs.select(F.col(id_col).alias("id"), whole(text_col).cast("binary").alias("text")).withColumn("key", F.unhex(F.md5("text")))
     n = docs.count()
     spans = repeated_spans(texts.select("key", "text"), length, k, max_kinds, block_bytes)
-    by_text = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")).withColumn("n_passage_words", F.lit(0).cast("long") if passage_words else F.lit(None).cast("long"))
-    by_text = stored(by_text)
-    discard(spans)
+    by_text = spans.withColumn("n_passage_words", F.lit(None).cast("long"))
     if passage_words:
         release(docs.sparkSession)
         words = passages(texts.select("key", "text"), passage_words, max_kinds, block_bytes).withColumnRenamed("key", "wkey").withColumnRenamed("n_passage_words", "words")
-        both = by_text.join(words.hint("merge"), F.col("key") == F.col("wkey"), "full").select(F.coalesce("key", "wkey").alias("key"), "spans", F.coalesce("words", F.lit(0).cast("long")).alias("n_passage_words"))
+        both = spans.join(words.hint("merge"), F.col("key") == F.col("wkey"), "full").select(F.coalesce("key", "wkey").alias("key"), "spans", F.coalesce("words", F.lit(0).cast("long")).alias("n_passage_words"))
         by_text = stored(both)
+        discard(spans)
     blocks = n_blocks(n)
     tested = test_rows(texts.withColumn("h", F.xxhash64("key")), bits_of(by_text.select(F.xxhash64("key").alias("h")), "h", blocks), "h", blocks)
     untouched = tested.filter(~F.col("maybe")).select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.col("text").alias("kept"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(0 if passage_words else None).cast("long").alias("n_passage_words"))
@@ -497,6 +507,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        trim()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
