@@ -49,9 +49,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import lowered_words, release, whole
+from tessera.llm.common import lowered_words, whole
 from tessera.llm.langid import remainder
-from tessera.llm.tables import discard, stored
+from tessera.llm.tables import discard, stored, swept
 
 DISCOUNT = 0.75  # of n-grams of bytes and of pairs of words
 #: The end token; words are bytes and never empty. Its chunk-local number is 0.
@@ -359,7 +359,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share
     context = docs.sparkSession.sparkContext
     table = stored(chunks(docs, id_col, text_col, chunk_bytes))
     listed = table.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "w")).select("chunk", "local", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    totals = stored(listed.groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("chunks")))
+    totals = swept(listed.groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("chunks")))
     times = lambda k: F.count(F.when(F.col("c") == k, 1))
     row = totals.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), times(1).alias("once"), times(2).alias("twice")).first()
     n, v, once, twice = (int(x) for x in row)
@@ -373,17 +373,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share
         size = table.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
         buckets = -(-size // TOKENS) or 1
         hot = hashed(pa.array([bytes(r["word"]) for r in totals.filter(F.col("c") * 4 * buckets > n).select("word").collect()], pa.binary()))
-        release(docs.sparkSession)
-        pairs = stored(all_pairs(table, hot, buckets))
-        release(docs.sparkSession)
+        pairs = swept(all_pairs(table, hot, buckets))
         kinds = pairs.filter("chunk is null").groupBy(F.col("at").alias("h")).agg(F.sum("k").alias("k"))
         spread = spread.join(kinds, F.xxhash64("of") == F.col("h"), "left").select("of", "c", F.coalesce("k", "kinds").alias("kinds"))
     n_parts = 2 * max(1, table.select("chunk").count())
     back = listed.select("chunk", "local", "word").join(spread, F.col("word") == F.col("of")).select(F.col("chunk").alias("part"), F.col("local").cast("long").alias("local"), "c", "kinds", F.lit(None).cast("binary").alias("blob"))
     if not share:
-        back = stored(back)
+        back = swept(back)
         discard(totals)
-        release(docs.sparkSession)
         none = F.lit(None).cast("long")
         back = back.unionByName(pairs.filter("chunk is not null").select(F.col("chunk").alias("part"), F.col("at").alias("local"), none.alias("c"), none.alias("kinds"), "blob"))
     back = back.repartition(n_parts, "part")
