@@ -27,7 +27,8 @@ state of the end token, whose spelling is empty.
    add to the chunk's counts of pairs, in the order they were sent in. There documents are traversed.
 
 A hot word costs one row a chunk, whatever its count, and no task holds more than some chunks of
-documents, or one document. Nothing is sampled, and no word is left out.
+documents, or one document, however many chunks it reads: the table of chunks has small row groups, and
+Python gets it in small batches. Nothing is sampled, and no word is left out.
 
 Cases: a null text is the empty text, whose only token is the end; a null id is not held out but
 not learned from; if nothing is learned, c and N are 0 and words are spelled by bytes that are all
@@ -49,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import lowered_words, whole
+from tessera.llm.common import lowered_words, trim, whole
 from tessera.llm.langid import remainder
 from tessera.llm.tables import discard, stored, swept
 
@@ -58,6 +59,7 @@ DISCOUNT = 0.75  # of n-grams of bytes and of pairs of words
 END = b""
 BOUND = 32  # the byte around a word; no word has it
 TOKENS = 2 << 20  # a bucket of pairs
+TOGETHER = 8 << 20  # bytes of chunks that a task holds at once; a chunk that is larger is alone
 U = np.uint64
 
 
@@ -113,6 +115,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> Dat
                 waiting.append(batch.slice(start))
         if waiting:
             yield close()
+        trim()
 
     return rows.mapInArrow(run, schema)
 
@@ -212,8 +215,11 @@ def all_pairs(table: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                     step[starts[:-1]] = w[a:b][starts[:-1]]
                     blobs.append(packed(np.diff(h[a:b][starts[:-1]], prepend=U(0)), np.diff(starts), step, counts[a:b]))
                 yield pa.RecordBatch.from_arrays([pa.array(of[ends[:-1]]), pa.array(np.full(len(blobs), chunk.as_py())), pa.array(blobs, pa.binary())], names=["bucket", "chunk", "blob"])
+                del codes, counts, order, of, h, w, blobs
+            trim()
 
     def add(part: pa.Table) -> pa.Table:
+        trim()
         each = [opened(x.as_py(), 4) for x in part.column("blob")]
         there = np.concatenate([np.cumsum(x[0], dtype=U) for x in each])  # the first words of each chunk
         sizes = np.concatenate([x[1] for x in each]).astype(np.int64)
@@ -357,7 +363,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share
     ``share``: 0 for all words as states; above, only words that make up so much of the tokens are.
     """
     context = docs.sparkSession.sparkContext
-    table = stored(chunks(docs, id_col, text_col, chunk_bytes))
+    table = stored(chunks(docs, id_col, text_col, chunk_bytes), TOGETHER)
     listed = table.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "w")).select("chunk", "local", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     totals = swept(listed.groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("chunks")))
     times = lambda k: F.count(F.when(F.col("c") == k, 1))
@@ -373,7 +379,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share
         size = table.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
         buckets = -(-size // TOKENS) or 1
         hot = hashed(pa.array([bytes(r["word"]) for r in totals.filter(F.col("c") * 4 * buckets > n).select("word").collect()], pa.binary()))
-        pairs = swept(all_pairs(table, hot, buckets))
+        pairs = swept(all_pairs(table, hot, buckets), TOGETHER)
         kinds = pairs.filter("chunk is null").groupBy(F.col("at").alias("h")).agg(F.sum("k").alias("k"))
         spread = spread.join(kinds, F.xxhash64("of") == F.col("h"), "left").select("of", "c", F.coalesce("k", "kinds").alias("kinds"))
     n_parts = 2 * max(1, table.select("chunk").count())
@@ -387,6 +393,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), *[T.StructField(k, T.LongType()) for k in ("n_tokens", "n_known", "train_tokens")], T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
     def traverse(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         m = model.value
         row = {c: left.column(c)[0] for c in left.column_names}
         sizes = np.asarray(row["sizes"].values)
