@@ -153,14 +153,12 @@ def _suggest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _related_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A relation with a query in it: pages near the root that hold a word, by PageRank."""
-    ix = _index(spark, sf_dir)
-    ranks = graph.page_rank(ix.edges, iterations=RANK_STEPS, converge=False)
-    c = Compiler(index.Index(ix.postings, ix.tf, ix.dictionary, ix.extents, ix.edges, ix.docs, ranks))
-    return c.related(Relation(_root(ix.edges), 2, Free(("der",)))).select("doc_id", "hops", F.round("score", 9).alias("score"))
+    ix = _linked(spark, sf_dir)
+    return Compiler(ix).related(Relation(_root(ix.edges), 2, Free(("der",)))).select("doc_id", "hops", F.round("score", 9).alias("score"))
 
 
 def _related_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ix = _index(spark, sf_dir)
+    ix = _linked(spark, sf_dir, rank=False)
     return Compiler(ix).postings(Relation(_root(ix.edges), 2, Free(("der", "la"))))
 
 
