@@ -35,6 +35,10 @@ def _linked(spark: SparkSession, sf_dir: str, rank: bool = True) -> index.Index:
     return replace(ix, page_rank=graph.page_rank(ix.edges, iterations=RANK_STEPS, converge=False)) if rank else ix
 
 
+def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.dictionary_of_documents(corpus.documents(spark, sf_dir))
+
+
 def _compiled(q, **options) -> Query:
     return lambda spark, sf_dir: Compiler(_index(spark, sf_dir), **options).postings(q)
 
@@ -93,12 +97,11 @@ def _relation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ix = _index(spark, sf_dir)
-    return corrections(ix.dictionary, ["thee", "annd", "offf", "dxr"], EngineConfig(correction_threshold=20))
+    return corrections(_dictionary(spark, sf_dir), ["thee", "annd", "offf", "dxr"], EngineConfig(correction_threshold=20))
 
 
 def _neighbour_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _index(spark, sf_dir).dictionary.select("token", positional_distance(F.col("token"), "that").alias("distance"))
+    d = _dictionary(spark, sf_dir).select("token", positional_distance(F.col("token"), "that").alias("distance"))
     return d.filter("distance <= 2")
 
 
@@ -148,7 +151,7 @@ def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _suggest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rare words of a whole tree are replaced, frequent ones stay."""
     q = Binary("AND", Free(("thee", "the")), Not(Phrase(("annd", "offf"))))
-    return spark.createDataFrame([(str(q), suggest(q, _index(spark, sf_dir).dictionary, EngineConfig(correction_threshold=20)))], "text string, suggestion string")
+    return spark.createDataFrame([(str(q), suggest(q, kept(_dictionary(spark, sf_dir)), EngineConfig(correction_threshold=20)))], "text string, suggestion string")
 
 
 def _related_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +207,7 @@ def queries() -> dict[str, Query]:
     return {
         "postings": on_index(lambda x: x.postings),
         "tf": on_index(lambda x: x.tf),
-        "dictionary": on_index(lambda x: x.dictionary),
+        "dictionary": _dictionary,
         "extents": on_index(lambda x: x.extents),
         "docs": on_index(lambda x: x.docs.select("doc_id", "title", F.date_format("last_updated", "yyyy-MM-dd HH:mm:ss").alias("last_updated"))),
         "freetext": _compiled(Free(("the", "der", "la"))),
