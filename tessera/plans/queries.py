@@ -90,10 +90,8 @@ def _related(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _relation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ix = _index(spark, sf_dir)
-    ranks = graph.page_rank(ix.edges, iterations=RANK_STEPS, converge=False)
-    c = Compiler(index.Index(ix.postings, ix.tf, ix.dictionary, ix.extents, ix.edges, ix.docs, ranks))
-    return c.related(Relation(_root(ix.edges), 3)).select("doc_id", "hops", F.round("score", 9).alias("score"))
+    ix = _linked(spark, sf_dir)
+    return Compiler(ix).related(Relation(_root(ix.edges), 3)).select("doc_id", "hops", F.round("score", 9).alias("score"))
 
 
 def _suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
